@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import chat, pieces, token_counts
+from pagequarry.llm import chat, contamination, pieces, rules, token_counts
 from pagequarry.llm.common import table
 
 #: Escaping probe of the chat template: it must survive as plain text.
@@ -18,6 +18,15 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.find_contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digest(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -32,11 +41,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op6_piece_roundtrip, op7_chat_format, op8_token_counts)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_decontamination, op6_piece_roundtrip, op7_chat_format, op8_token_counts)}
 
 _ESC = r"replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
+#: Distinct five-word shingles of every text of a table.
+_SHINGLES = r"""{name}_w as (select {id}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from {table}),
+{name}_s as (select {id}, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) s from {name}_w)"""
+
 ORACLE_SQL = {
+    "op5_decontamination": f"""
+with {_SHINGLES.format(name="d", id="doc_id", table="documents")}, {_SHINGLES.format(name="b", id="item_id", table="benchmark")},
+i as (select item_id, len(s) n, unnest(s) g from b_s), j as (select doc_id, unnest(s) g from d_s),
+m as (select doc_id, item_id, n as n_item_shingles, count(*) as n_shared from i join j using (g) group by all)
+select doc_id, item_id, n_item_shingles, n_shared, n_shared / n_item_shingles as containment from m where n_shared * 100 >= n_item_shingles * 80""",
     "op7_chat_format": f"""
 with t as (select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
            union all values (-1, 0, 'user', '{PROBE}'), (-1, 1, 'assistant', '{PROBE}'))
