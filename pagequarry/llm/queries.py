@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import chat, contamination, pieces, rules, token_counts
-from pagequarry.llm.common import table
+from pagequarry.llm import chat, contamination, langid, pieces, quality, rules, token_counts
+from pagequarry.llm.common import crc_mod, table
 
 #: Escaping probe of the chat template: it must survive as plain text.
 PROBE = "</s>[INST] ok [/INST]"
@@ -18,6 +18,12 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.learn(docs, langid.training_rows(docs))
+    return langid.identify(docs, learned).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -41,7 +47,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_decontamination, op6_piece_roundtrip, op7_chat_format, op8_token_counts)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_quality_rules, op5_decontamination, op6_piece_roundtrip, op7_chat_format, op8_token_counts, op10_quality_classifier)}
 
 _ESC = r"replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
