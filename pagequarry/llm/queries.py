@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import chat, contamination, langid, pieces, quality, rules, token_counts
+from pagequarry.llm import chat, contamination, langid, licenses, pieces, quality, rules, token_counts
 from pagequarry.llm.common import crc_mod, table
 
 #: Escaping probe of the chat template: it must survive as plain text.
@@ -47,11 +47,37 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # documents have no path of their own: a source is a tree, a hundred documents share a directory
+    place = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 100).cast("string"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(table(spark, sf_dir, "documents").withColumn("path", place))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_quality_rules, op5_decontamination, op6_piece_roundtrip, op7_chat_format, op8_token_counts, op10_quality_classifier)}
+def _license_sql() -> str:
+    idf, unseen, vectors = licenses.weights()
+    name = lambda k: licenses.TEMPLATES[k][0]
+    weights = ", ".join(f"('{t}', {k}, '{name(k)}', {x!r}e0, {idf[t]!r}e0)" for k, v in enumerate(vectors) for t, x in sorted(v.items()))
+    return f"""
+with w(term, k, license, weight, idf) as (values {weights}),
+docs as (select doc_id, concat_ws('/', source, cast(doc_id // 1000 as varchar), cast(doc_id // 100 as varchar), doc_id || '.txt') as path, string_split(coalesce(text, ''), chr(10)) ls, length(coalesce(text, '')) n from documents),
+l as (select doc_id, unnest(generate_series(1, len(ls))) ln, unnest(ls) line from docs),
+t as (select doc_id, ln, term, count(*) tf from (select doc_id, ln, unnest(regexp_split_to_array(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+')) term from l) where term <> '' group by all),
+norms as (select doc_id, ln, sqrt(sum(power(tf * coalesce(i.idf, {unseen!r}e0), 2))) norm from t left join (select distinct term, idf from w) i using (term) group by all),
+c as (select doc_id, ln, k, license, round(sum(tf * idf * weight) / any_value(norm), 9) cosine from t join w using (term) join norms using (doc_id, ln) group by all),
+b as (select doc_id, ln, max(cosine) cosine, arg_max(license, (cosine, -k)) license, arg_max(-k, (cosine, -k)) no from c group by all having max(cosine) >= {licenses.MIN_COSINE}),
+o as (select doc_id, path, n, (select arg_max(license, (cosine, no)) from b where b.doc_id = docs.doc_id) own, coalesce((select max(cosine) from b where b.doc_id = docs.doc_id), 0e0) score,
+      coalesce((select sum(length(line)) from b join l using (doc_id, ln) where b.doc_id = docs.doc_id), 0) * 2 >= greatest(n, 1) as file from docs),
+d as (select *, regexp_replace(path, '/[^/]*$', '') dir from o),
+f as (select dir, arg_min(own, (-score, path)) license from d where file group by dir),
+a as (select doc_id, arg_max(f.license, length(f.dir)) license, max_by(f.dir, length(f.dir)) dir from d join f on d.dir = f.dir or starts_with(d.dir, f.dir || '/') where own is null group by doc_id)
+select doc_id, path, own as own_license, score as own_score, file as license_file, coalesce(own, a.license) as license, a.dir as license_dir from d left join a using (doc_id)"""
+
+
+QUERIES = {f.__name__: f for f in (op2_language_id, op4_quality_rules, op5_decontamination, op6_piece_roundtrip, op7_chat_format, op8_token_counts, op9_license_scan, op10_quality_classifier)}
 
 _ESC = r"replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
@@ -60,6 +86,7 @@ _SHINGLES = r"""{name}_w as (select {id}, list_filter(regexp_split_to_array(tran
 {name}_s as (select {id}, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) s from {name}_w)"""
 
 ORACLE_SQL = {
+    "op9_license_scan": _license_sql(),
     "op5_decontamination": f"""
 with {_SHINGLES.format(name="d", id="doc_id", table="documents")}, {_SHINGLES.format(name="b", id="item_id", table="benchmark")},
 i as (select item_id, len(s) n, unnest(s) g from b_s), j as (select doc_id, unnest(s) g from d_s),
