@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import chat, contamination, langid, licenses, pieces, quality, rules, token_counts
+from pagequarry.llm import chat, contamination, jaccard, langid, licenses, pieces, quality, rules, token_counts
 from pagequarry.llm.common import crc_mod, table
 
 #: Escaping probe of the chat template: it must survive as plain text.
@@ -18,6 +18,10 @@ def tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = langid.learn(docs, langid.training_rows(docs))
@@ -77,7 +81,7 @@ a as (select doc_id, arg_max(f.license, length(f.dir)) license, max_by(f.dir, le
 select doc_id, path, own as own_license, score as own_score, file as license_file, coalesce(own, a.license) as license, a.dir as license_dir from d left join a using (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op4_quality_rules, op5_decontamination, op6_piece_roundtrip, op7_chat_format, op8_token_counts, op9_license_scan, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op4_quality_rules, op5_decontamination, op6_piece_roundtrip, op7_chat_format, op8_token_counts, op9_license_scan, op10_quality_classifier)}
 
 _ESC = r"replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
@@ -86,6 +90,12 @@ _SHINGLES = r"""{name}_w as (select {id}, list_filter(regexp_split_to_array(tran
 {name}_s as (select {id}, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end) s from {name}_w)"""
 
 ORACLE_SQL = {
+    "op1_ngram_jaccard": f"""
+with recursive {_SHINGLES.format(name="d", id="doc_id", table="documents")},
+s as materialized (select doc_id, len(s) n, s from d_s), j as materialized (select doc_id, n, unnest(s) g from s),
+links as materialized (select a.doc_id x, b.doc_id y from j a join j b on a.g = b.g and a.doc_id <> b.doc_id group by all having 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach as (select doc_id x, doc_id y from s union select r.x, l.y from reach r join links l on r.y = l.x)
+select doc_id, n as n_shingles, (select min(y) from reach where reach.x = s.doc_id) as component_id from s""",
     "op9_license_scan": _license_sql(),
     "op5_decontamination": f"""
 with {_SHINGLES.format(name="d", id="doc_id", table="documents")}, {_SHINGLES.format(name="b", id="item_id", table="benchmark")},
