@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import chat, contamination, jaccard, langid, licenses, pieces, quality, rules, token_counts
+from pagequarry.llm import chat, contamination, jaccard, langid, licenses, lm, pieces, quality, rules, token_counts
 from pagequarry.llm.common import crc_mod, table
 
 #: Escaping probe of the chat template: it must survive as plain text.
@@ -28,6 +28,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, learned).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -81,7 +85,7 @@ a as (select doc_id, arg_max(f.license, length(f.dir)) license, max_by(f.dir, le
 select doc_id, path, own as own_license, score as own_score, file as license_file, coalesce(own, a.license) as license, a.dir as license_dir from d left join a using (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op4_quality_rules, op5_decontamination, op6_piece_roundtrip, op7_chat_format, op8_token_counts, op9_license_scan, op10_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_lm_scores, op4_quality_rules, op5_decontamination, op6_piece_roundtrip, op7_chat_format, op8_token_counts, op9_license_scan, op10_quality_classifier)}
 
 _ESC = r"replace(replace(replace(replace(replace({0}, '\', '\\'), '<s>', '<\s>'), '</s>', '<\/s>'), '[INST]', '[\INST]'), '[/INST]', '[\/INST]')"
 
