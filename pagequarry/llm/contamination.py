@@ -61,8 +61,10 @@ def find_contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", te
     seen = keyed.select("_doc", F.explode(shingle_hashes(F.col("_w"))).alias("_h"))
     pairs = materialize(seen.join(small(sought, MAX_BROADCAST_ROWS), "_h").select("_doc", "_item").distinct())
     texts = materialize(rows.join(small(pairs.select(F.col("_doc").alias("_d")).distinct(), MAX_BROADCAST_ROWS), F.col("_doc").eqNullSafe(F.col("_d")), "left_semi"))
-    sets = texts.select("_doc", shingle_texts(words_of(F.col("_text"))).alias("_ds"))
+    # words are a column of their own: inside a lambda an expression would be evaluated again for each word
+    sets = texts.select("_doc", words_of(F.col("_text")).alias("_w")).select("_doc", shingle_texts(F.col("_w")).alias("_ds"))
     asked = wordy.select("_item", "_item_id", shingle_texts(F.col("_iw")).alias("_is"))
+    # the sets are made before the join repeats a document for its items
     both = sets.join(pairs.withColumnRenamed("_doc", "_d"), F.col("_doc").eqNullSafe(F.col("_d"))).join(small(asked, 20_000), "_item")
     shared = F.size(F.array_intersect("_is", "_ds")).cast("long")
     found = both.select(F.col("_doc").alias(doc_id), F.col("_item_id").alias(item_id), F.size("_is").cast("long").alias("n_item_shingles"), shared.alias("n_shared"))
