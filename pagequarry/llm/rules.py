@@ -168,8 +168,10 @@ def verdict(rules: list[Rule]) -> Column:
 def labelled_sample(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_rows: int = MAX_LABELLED) -> tuple[dict[str, np.ndarray], np.ndarray]:
     """Features and bad flags of at most ``max_rows`` labelled rows that pass the base rules."""
     marks = labels.where(F.col("quality").isNotNull()).select(F.col(id_col).alias("_id"), "quality")
-    joined = stats.where(~base_failed()).join(marks, F.col(id_col) == F.col("_id"))
-    rows = joined.select(*[feature(n).alias(n) for n in FEATURES], "quality", F.xxhash64("_id").alias("_o")).orderBy("_o", *FEATURES, "quality").limit(max_rows).collect()
+    joined = materialize(stats.where(~base_failed()).join(marks, F.col(id_col) == F.col("_id")).select(*[feature(n).alias(n) for n in FEATURES], "quality", F.xxhash64("_id").alias("_o")))
+    # a hash bound leaves little more than the sample, so tasks do not each send as many rows to the driver
+    share = min(1.0, 1.5 * max_rows / max(joined.count(), 1))
+    rows = joined.where(F.pmod("_o", F.lit(1 << 20)) <= int(share * (1 << 20))).withColumn("_o", F.pmod("_o", F.lit(1 << 20))).orderBy("_o", *FEATURES, "quality").limit(max_rows).collect()
     return {n: np.array([r[n] for r in rows], float) for n in FEATURES}, np.array([r["quality"] == 0 for r in rows], bool)
 
 
