@@ -100,31 +100,55 @@ def needed(n: np.ndarray, m: int, percent: int = PERCENT) -> np.ndarray:
     return -((-percent * (n + m)) // (100 + percent))
 
 
-class RTree:
-    """A bulk-loaded R-tree over count vectors; nodes know the largest coordinates below and their sizes' range."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
-        self.order = np.lexsort((points[:, 1], points[:, 0], sizes)) if len(points) else np.zeros(0, np.int64)
-        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
-        while len(self.levels[-1][0]) > FANOUT:
-            high, least, most = self.levels[-1]
-            starts = np.arange(0, len(high), FANOUT)
-            self.levels.append((np.maximum.reduceat(high, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts)))
-
-    def search(self, point: np.ndarray, size: int, percent: int = PERCENT) -> np.ndarray:
-        """Rows whose sets may link with one of this point and size."""
-        at = np.arange(len(self.levels[-1][0]))
+class Forest:
+    """Bulk-loaded R-trees over count vectors, one for each block, searched for many points at once.
+
+    Rows come sorted by block. A node knows the largest coordinates below it, the range of sizes and of
+    roots; its children lie side by side. ``levels`` goes from rows to the trees' roots.
+    """
+
+    def __init__(self, block: np.ndarray, points: np.ndarray, sizes: np.ndarray, roots: np.ndarray):
+        order = np.lexsort((points[:, 0], sizes, roots, block))
+        self.order = order
+        one = np.ones(len(order), np.int64)
+        self.levels = [(block[order], points[order], sizes[order], sizes[order], roots[order], roots[order], np.arange(len(order)), one)]
+        while True:
+            of, high, least, most, lo, hi, _, _ = self.levels[-1]
+            new = np.r_[True, of[1:] != of[:-1]]
+            if new.all():
+                break
+            first = np.flatnonzero(new)
+            within = np.arange(len(of)) - first[np.cumsum(new) - 1]
+            starts = np.flatnonzero(within % FANOUT == 0)
+            count = np.diff(np.r_[starts, len(of)])
+            self.levels.append((of[starts], np.maximum.reduceat(high, starts), np.minimum.reduceat(least, starts), np.maximum.reduceat(most, starts), np.minimum.reduceat(lo, starts), np.maximum.reduceat(hi, starts), starts, count))
+
+    def search(self, block: np.ndarray, points: np.ndarray, sizes: np.ndarray, roots: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) pairs of one block and different roots whose sets may link."""
+        top = self.levels[-1][0]
+        node = np.minimum(np.searchsorted(top, block), len(top) - 1)
+        query = np.flatnonzero(top[node] == block)
+        node = node[query]
         for depth in range(len(self.levels) - 1, -1, -1):
-            high, least, most = (x[at] for x in self.levels[depth])
-            fits = (least * percent <= 100 * size) & (most * 100 >= percent * size)
-            # a node's need is at least that of the smallest set in it that can link at all
-            low = np.maximum(least, -(-percent * size // 100))
-            fits &= np.minimum(high, point).sum(1) >= needed(low, size, percent)
-            at = at[fits]
+            _, high, least, most, lo, hi, start, count = self.levels[depth]
+            keep = []
+            for at in range(0, len(query), 1 << 15):
+                q, v = query[at : at + (1 << 15)], node[at : at + (1 << 15)]
+                size = sizes[q]
+                # a node's need is at least that of the smallest set in it that can link at all
+                low = np.maximum(least[v], -(-percent * size // 100))
+                fits = (least[v] * percent <= 100 * size) & (low <= most[v]) & ((lo[v] != hi[v]) | (lo[v] != roots[q]))
+                some = np.flatnonzero(fits)
+                fits[some] = np.minimum(high[v[some]], points[q[some]]).sum(1) >= needed(low[some], size[some], percent)
+                keep.append(fits)
+            kept = np.concatenate(keep) if keep else np.zeros(0, bool)
+            query, node = query[kept], node[kept]
             if depth:
-                at = (at[:, None] * FANOUT + np.arange(FANOUT)).ravel()
-                at = at[at < len(self.levels[depth - 1][0])]
-        return self.order[at]
+                n = count[node]
+                first = np.cumsum(n) - n
+                node = np.repeat(start[node], n) + np.arange(int(n.sum())) - np.repeat(first, n)
+                query = np.repeat(query, n)
+        return query, self.order[node]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -261,31 +285,45 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
 
 
 def tree_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of keys of different roots in one block that the R-tree cannot rule out.
+    """Pairs (a, b) of keys of different roots in one block that the R-trees cannot rule out.
 
     ``rows`` has token, key, root, vector. Blocks larger than ``TREE_ROWS`` are cut into slices, and
-    every pair of slices is a group of its own.
+    every pair of slices is a block of its own. A task holds a few blocks at a time.
     """
     counts = rows.groupBy("token").count().where(F.col("count") > TREE_ROWS).withColumn("parts", F.ceil(F.col("count") / TREE_ROWS).cast("int")).select("token", "parts")
     cut = rows.join(counts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     groups = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "root", "vector")
+    dealt = groups.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def pairs_of(f: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
         x = np.frombuffer(b"".join(f["vector"]), "<i4").reshape(len(f), GROUPS)
-        n = x.sum(1).astype(np.int64)
-        key, root = f["key"].to_numpy(), f["root"].to_numpy()
-        i, j, part = int(f["i"].iat[0]), int(f["j"].iat[0]), f["part"].to_numpy()
-        inner, outer = np.flatnonzero(part == j), np.flatnonzero(part == i)
-        tree = RTree(x[inner], n[inner])
-        found = []
-        for q in outer.tolist():
-            hit = inner[tree.search(x[q], int(n[q]))]
-            hit = hit[root[hit] != root[q]]
-            found.append(np.c_[np.full(len(hit), key[q]), key[hit]])
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.min(1), "b": pairs.max(1)}).drop_duplicates()
-
-    return groups.groupBy("token", "i", "j").applyInPandas(run, "a long, b long").distinct()
+        n, key, root, part = x.sum(1).astype(np.int64), f["key"].to_numpy(), f["root"].to_numpy(), f["part"].to_numpy()
+        inner, outer = np.flatnonzero(part == f["j"].to_numpy()), np.flatnonzero(part == f["i"].to_numpy())
+        if not len(inner) or not len(outer):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        q, hit = Forest(block[inner], x[inner], n[inner], root[inner]).search(block[outer], x[outer], n[outer], root[outer])
+        a, b = key[outer[q]], key[inner[hit]]
+        apart = a != b
+        return pd.DataFrame({"a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]}).drop_duplicates()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for f in itertools.chain(frames, [None]):
+            if f is not None:
+                held.append(f)
+                if sum(map(len, held)) < 4 * TREE_ROWS:
+                    continue
+            whole = pd.concat(held, ignore_index=True) if held else None
+            if whole is None or not len(whole):
+                continue
+            new = np.r_[True, (whole[["token", "i", "j"]].to_numpy()[1:] != whole[["token", "i", "j"]].to_numpy()[:-1]).any(1)]
+            end = len(whole) if f is None else int(np.flatnonzero(new)[-1])  # the last block may go on
+            block = np.cumsum(new)
+            held = [whole.iloc[end:]]
+            if end:
+                yield pairs_of(whole.iloc[:end], block[:end])
+
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def link_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -311,7 +349,9 @@ def link_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     edges = materialize(verified(pairs, texts))
     roots = connected_components(edges)
     rooted = shared.join(roots.withColumnRenamed("id", "key"), "key", "left").select("token", "key", F.coalesce("root", "key").alias("root"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo <> _hi").select("token")
+    # blocks of different roots; of blocks with the same keys one is enough
+    blocks = rooted.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("key")).alias("_x"), F.min("key").alias("_m")).where("_lo <> _hi")
+    mixed = blocks.groupBy("_c", "_x", "_m").agg(F.min("token").alias("token")).select("token")
     rest = rooted.join(mixed, "token").join(texts.select("key", "vector"), "key")
     more = materialize(verified(materialize(tree_pairs(rest).join(pairs, ["a", "b"], "left_anti").join(pairs.toDF("b", "a"), ["a", "b"], "left_anti")), texts))
     final = connected_components(edges.union(more))
