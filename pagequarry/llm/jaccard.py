@@ -36,12 +36,14 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import UPPER, materialize, slices
+from pagequarry.llm.common import UPPER, materialize, slices, small
 from pagequarry.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 80
 #: Groups of the count vectors, children of an R-tree node, cells of the frequency sketch, rows of a tree.
 GROUPS, FANOUT, CELLS, TREE_ROWS = 64, 16, 1 << 16, 4096
+#: Groups of the finer counts that pairs are bounded with; each count has four bits.
+FINE = 1024
 #: 64-bit words of the Bloom filter of candidates.
 BLOOM_WORDS = 1 << 18
 _LOW = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -95,6 +97,13 @@ def count_vector(s: np.ndarray) -> np.ndarray:
     return np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
 
 
+def fine_counts(s: np.ndarray) -> bytes:
+    """Counts in ``FINE`` groups, two to a byte. With a count over 14 all are 15, which bounds nothing."""
+    c = np.bincount((s >> np.uint64(24)).astype(np.int64) % FINE, minlength=FINE)
+    c = np.full(FINE, 15) if c.max(initial=0) > 14 else c
+    return (c[::2] | c[1::2] << 4).astype(np.uint8).tobytes()
+
+
 def needed(n: np.ndarray, m: int, percent: int = PERCENT) -> np.ndarray:
     """Least intersection of linked sets of sizes n and m."""
     return -((-percent * (n + m)) // (100 + percent))
@@ -156,7 +165,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    for batch in slices(batches):
+    for batch in slices(batches, max_bytes=1_500_000):
         yield batch, shingle_sets([words_in(t) for t in batch.column("text").to_pylist()])
 
 
@@ -169,9 +178,9 @@ def profile(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch, sets in _batches(batches):
             for s in sets:
                 cells += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(s) > CELLS // 8 else 0
-            small = [s for s in sets if len(s) <= CELLS // 8]
-            if small:
-                cells += np.bincount((np.concatenate(small) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+            short = [s for s in sets if len(s) <= CELLS // 8]
+            if short:
+                cells += np.bincount((np.concatenate(short) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             k = len(sets)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
         used = np.flatnonzero(cells)
@@ -200,7 +209,7 @@ def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
                 tokens.append(s[np.lexsort((s, heat))[:p]])
                 keys.append(key)
                 sizes.append((len(s), p))
-            if len(seen) > 1_000_000:
+            if len(seen) > 300_000:
                 seen.clear()
             if tokens:
                 times = [p for _, p in sizes]
@@ -226,14 +235,15 @@ def candidate_texts(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=1_500_000):
             words = [words_in(t) for t in batch.column("text").to_pylist()]
-            vectors = [count_vector(s).astype("<i4").tobytes() for s in shingle_sets(words)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([pack(b" ".join(w)) for w in words], pa.binary()), pa.array(vectors, pa.binary())], names=["id", "packed", "vector"])
+            sets = shingle_sets(words)
+            vectors = [count_vector(s).astype("<i4").tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([pack(b" ".join(w)) for w in words], pa.binary()), pa.array(vectors, pa.binary()), pa.array([fine_counts(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "packed", "vector", "fine", "n"])
 
     hit = _in_bloom(docs, sieve)
-    texts = hit.mapInArrow(run, "id long, packed binary, vector binary").dropDuplicates(["id"])
-    return materialize(named.join(texts, "id").select("key", "packed", "vector"))
+    texts = hit.mapInArrow(run, "id long, packed binary, vector binary, fine binary, n long").dropDuplicates(["id"])
+    return materialize(named.join(texts, "id").select("key", "packed", "vector", "fine", "n"))
 
 
 def _in_bloom(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
@@ -252,21 +262,24 @@ def _in_bloom(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of keys whose sets link. Pairs are first bounded by their count vectors."""
-    points = texts.select("key", "vector")
-    left, right = points.toDF("a", "va"), points.toDF("b", "vb")
+    """The pairs (a, b) of keys whose sets link. Pairs are first bounded by counts in many groups."""
+    points = texts.select("key", "fine", "n")
+    left, right = points.toDF("a", "fa", "na"), points.toDF("b", "fb", "nb")
 
     def bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if not len(f):
-                continue
-            x, y = (np.frombuffer(b"".join(f[c]), "<i4").reshape(len(f), GROUPS) for c in ("va", "vb"))
-            n, m = x.sum(1), y.sum(1)
-            most = np.minimum(x, y).sum(1)
-            yield f.loc[100 * most >= percent * (n + m - most), ["a", "b"]]
+            for at in range(0, len(f), 2000):
+                g = f.iloc[at : at + 2000]
+                x, y = (np.frombuffer(b"".join(g[c]), np.uint8).reshape(len(g), FINE // 2) for c in ("fa", "fb"))
+                most = np.minimum(x & 15, y & 15).sum(1) + np.minimum(x >> 4, y >> 4).sum(1)
+                need = needed(g["na"].to_numpy(), g["nb"].to_numpy(), percent)
+                # two texts of counts that bound nothing reach this much
+                yield g.loc[most >= np.minimum(need, 14 * FINE), ["a", "b"]]
 
     near = materialize(pairs.join(left, "a").join(right, "b").mapInPandas(bounded, "a long, b long"))
-    both = near.join(texts.select(F.col("key").alias("b"), F.col("packed").alias("pb")), "b").join(texts.select(F.col("key").alias("a"), F.col("packed").alias("pa")), "a").select("a", "b", "pa", "pb")
+    named = materialize(near.select(F.col("a").alias("key")).union(near.select("b")).distinct())
+    packed = texts.select("key", "packed").join(small(named, 500_000), "key", "left_semi")
+    both = near.join(packed.toDF("b", "pb"), "b").join(packed.toDF("a", "pa"), "a").select("a", "b", "pa", "pb")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor().decompress
@@ -301,10 +314,14 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
         inner, outer = np.flatnonzero(part == f["j"].to_numpy()), np.flatnonzero(part == f["i"].to_numpy())
         if not len(inner) or not len(outer):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        q, hit = Forest(block[inner], x[inner], n[inner], root[inner]).search(block[outer], x[outer], n[outer], root[outer])
-        a, b = key[outer[q]], key[inner[hit]]
-        apart = a != b
-        return pd.DataFrame({"a": np.minimum(a, b)[apart], "b": np.maximum(a, b)[apart]}).drop_duplicates()
+        forest = Forest(block[inner], x[inner], n[inner], root[inner])
+        found = []
+        for at in range(0, len(outer), 1024):  # bounds the pairs under way
+            some = outer[at : at + 1024]
+            q, hit = forest.search(block[some], x[some], n[some], root[some])
+            a, b = key[some[q]], key[inner[hit]]
+            found.append(np.unique(np.c_[np.minimum(a, b), np.maximum(a, b)][a != b], axis=0))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
