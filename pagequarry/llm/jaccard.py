@@ -94,7 +94,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def count_vector(s: np.ndarray) -> np.ndarray:
-    return np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype(np.int32)
+    """Counts in ``GROUPS`` groups, a byte each. With a count over 254 all are 255, which bounds nothing."""
+    c = np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return np.full(GROUPS, 255, np.uint8) if c.max(initial=0) > 254 else c.astype(np.uint8)
 
 
 def fine_counts(s: np.ndarray) -> bytes:
@@ -148,7 +150,7 @@ class Forest:
                 low = np.maximum(least[v], -(-percent * size // 100))
                 fits = (least[v] * percent <= 100 * size) & (low <= most[v]) & ((lo[v] != hi[v]) | (lo[v] != roots[q]))
                 some = np.flatnonzero(fits)
-                fits[some] = np.minimum(high[v[some]], points[q[some]]).sum(1) >= needed(low[some], size[some], percent)
+                fits[some] = np.minimum(high[v[some]], points[q[some]]).sum(1) >= np.minimum(needed(low[some], size[some], percent), 254 * GROUPS)
                 keep.append(fits)
             kept = np.concatenate(keep) if keep else np.zeros(0, bool)
             query, node = query[kept], node[kept]
@@ -233,32 +235,23 @@ def candidate_texts(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFr
     named = materialize(reps.join(keys, "key").select("key", F.col("rep").alias("id")))
     sieve = bloom_of(named.select(F.xxhash64("id").alias("h")), "h")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in slices(batches, max_bytes=1_500_000):
-            words = [words_in(t) for t in batch.column("text").to_pylist()]
-            sets = shingle_sets(words)
-            vectors = [count_vector(s).astype("<i4").tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([pack(b" ".join(w)) for w in words], pa.binary()), pa.array(vectors, pa.binary()), pa.array([fine_counts(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "packed", "vector", "fine", "n"])
-
-    hit = _in_bloom(docs, sieve)
-    texts = hit.mapInArrow(run, "id long, packed binary, vector binary, fine binary, n long").dropDuplicates(["id"])
-    return materialize(named.join(texts, "id").select("key", "packed", "vector", "fine", "n"))
-
-
-def _in_bloom(docs: DataFrame, sieve: np.ndarray) -> DataFrame:
-    """Rows of ``docs`` whose id the filter may hold; the bits travel with the task, their size is fixed."""
     marked = docs.withColumns({f"_b{k}": F.pmod(F.xxhash64(F.lit(k), F.xxhash64("id")), F.lit(BLOOM_WORDS * 64)) for k in (1, 2)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             mask = np.ones(batch.num_rows, bool)
             for name in ("_b1", "_b2"):
                 bit = batch.column(name).to_numpy()
                 mask &= (sieve[bit >> 6] >> (bit & 63)) & 1 == 1
-            yield batch.select(["id", "text"]).filter(pa.array(mask))
+            for some in slices(iter([batch.select(["id", "text"]).filter(pa.array(mask))]), max_bytes=1_500_000):
+                words = [words_in(t) for t in some.column("text").to_pylist()]
+                sets = shingle_sets(words)
+                vectors = [count_vector(s).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([pack(b" ".join(w)) for w in words], pa.binary()), pa.array(vectors, pa.binary()), pa.array([fine_counts(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "packed", "vector", "fine", "n"])
 
-    return marked.mapInArrow(run, "id long, text string")
+    texts = marked.mapInArrow(run, "id long, packed binary, vector binary, fine binary, n long").dropDuplicates(["id"])
+    return materialize(named.join(texts, "id").select("key", "packed", "vector", "fine", "n"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -300,17 +293,17 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
 def tree_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys of different roots in one block that the R-trees cannot rule out.
 
-    ``rows`` has token, key, root, vector. Blocks larger than ``TREE_ROWS`` are cut into slices, and
+    ``rows`` has token, key, n, root, vector. Blocks larger than ``TREE_ROWS`` are cut into slices, and
     every pair of slices is a block of its own. A task holds a few blocks at a time.
     """
     counts = rows.groupBy("token").count().where(F.col("count") > TREE_ROWS).withColumn("parts", F.ceil(F.col("count") / TREE_ROWS).cast("int")).select("token", "parts")
     cut = rows.join(counts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    groups = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "root", "vector")
+    groups = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "n", "root", "vector")
     dealt = groups.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def pairs_of(f: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(f["vector"]), "<i4").reshape(len(f), GROUPS)
-        n, key, root, part = x.sum(1).astype(np.int64), f["key"].to_numpy(), f["root"].to_numpy(), f["part"].to_numpy()
+        x = np.frombuffer(b"".join(f["vector"]), np.uint8).reshape(len(f), GROUPS)
+        n, key, root, part = f["n"].to_numpy(np.int64), f["key"].to_numpy(), f["root"].to_numpy(), f["part"].to_numpy()
         inner, outer = np.flatnonzero(part == f["j"].to_numpy()), np.flatnonzero(part == f["i"].to_numpy())
         if not len(inner) or not len(outer):
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
@@ -355,21 +348,19 @@ def link_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     tokens = prefixes(docs.where("id is not null"), rough)
     here = Window.partitionBy("token").orderBy("key")
     shared = materialize(tokens.select("*", F.lag("key").over(here).alias("_p"), F.lead("key").over(here).alias("_n")).where("(_p is not null and _p <> key) or (_n is not null and _n <> key)").select("token", "key", "n").distinct())
-    weight = shared.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("m"))
+    texts = candidate_texts(docs, reps, shared.select("key").distinct())
     # the share of a prefix that others have: highest for the text that copies were made from
-    share = materialize(weight.select("key", (F.col("k") / (F.col("m") - F.floor((F.col("m") * PERCENT + 99) / 100) + 1)).alias("share")))
-    texts = candidate_texts(docs, reps, share.select("key"))
-    ranked = shared.join(share, "key")
+    share = F.count(F.lit(1)).over(Window.partitionBy("key")) / (F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1)
     lead = F.first(F.struct("key", "n")).over(Window.partitionBy("token").orderBy(F.desc("share"), "key"))
-    stars = ranked.select("key", "n", lead.alias("l")).where("l.key <> key").where(f"least(n, l.n) * 100 >= greatest(n, l.n) * {PERCENT}")
+    stars = shared.withColumn("share", share).select("key", "n", lead.alias("l")).where("l.key <> key").where(f"least(n, l.n) * 100 >= greatest(n, l.n) * {PERCENT}")
     pairs = materialize(stars.select(F.col("l.key").alias("a"), F.col("key").alias("b")).distinct())
     edges = materialize(verified(pairs, texts))
     roots = connected_components(edges)
-    rooted = shared.join(roots.withColumnRenamed("id", "key"), "key", "left").select("token", "key", F.coalesce("root", "key").alias("root"))
+    rooted = shared.join(small(roots, 500_000).withColumnRenamed("id", "key"), "key", "left").select("token", "key", "n", F.coalesce("root", "key").alias("root")).repartition("token")
     # blocks of different roots; of blocks with the same keys one is enough
     blocks = rooted.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("key")).alias("_x"), F.min("key").alias("_m")).where("_lo <> _hi")
     mixed = blocks.groupBy("_c", "_x", "_m").agg(F.min("token").alias("token")).select("token")
-    rest = rooted.join(mixed, "token").join(texts.select("key", "vector"), "key")
+    rest = rooted.join(mixed, "token").join(texts.select("key", "vector"), "key", "left")
     more = materialize(verified(materialize(tree_pairs(rest).join(pairs, ["a", "b"], "left_anti").join(pairs.toDF("b", "a"), ["a", "b"], "left_anti")), texts))
     final = connected_components(edges.union(more))
     joined = reps.join(final.withColumnRenamed("id", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
