@@ -41,9 +41,9 @@ from pagequarry.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 80
 #: Groups of the count vectors, children of an R-tree node, cells of the frequency sketch, rows of a tree.
-GROUPS, FANOUT, CELLS, TREE_ROWS = 64, 16, 1 << 16, 4096
-#: Groups of the finer counts that pairs are bounded with; each count has four bits.
-FINE = 1024
+GROUPS, FANOUT, CELLS, TREE_ROWS = 256, 16, 1 << 16, 4096
+#: Least and most groups of the finer counts that pairs are bounded with, about two for a shingle.
+FINE_LEAST, FINE_MOST = 256, 1 << 17
 #: 64-bit words of the Bloom filter of candidates.
 BLOOM_WORDS = 1 << 18
 _LOW = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
@@ -100,10 +100,26 @@ def count_vector(s: np.ndarray) -> np.ndarray:
 
 
 def fine_counts(s: np.ndarray) -> bytes:
-    """Counts in ``FINE`` groups, two to a byte. With a count over 14 all are 15, which bounds nothing."""
-    c = np.bincount((s >> np.uint64(24)).astype(np.int64) % FINE, minlength=FINE)
-    c = np.full(FINE, 15) if c.max(initial=0) > 14 else c
-    return (c[::2] | c[1::2] << 4).astype(np.uint8).tobytes()
+    """Counts in a power of two of groups, four bits each: the lower half of the groups in the low bits.
+
+    With a count over 14 nothing is bounded, and there are no bytes.
+    """
+    g = min(max(FINE_LEAST, 1 << (2 * len(s)).bit_length()), FINE_MOST)
+    c = np.bincount((s >> np.uint64(24)).astype(np.int64) & (g - 1), minlength=g)
+    return b"" if c.max() > 14 else (c[: g // 2] | c[g // 2 :] << 4).astype(np.uint8).tobytes()
+
+
+def fine_overlap(x: bytes, y: bytes) -> int | None:
+    """The most that two sets can share; groups of the larger counts are folded to those of the smaller."""
+    if not x or not y:
+        return None
+    if len(x) < len(y):
+        x, y = y, x
+    u, v = (np.frombuffer(z, np.uint8) for z in (x, y))
+    u, v = np.concatenate([u & 15, u >> 4]), np.concatenate([v & 15, v >> 4])
+    while len(u) > len(v):
+        u = u[: len(u) // 2] + u[len(u) // 2 :]  # a size ratio of at most 5 : 4 folds once
+    return int(np.minimum(u, v).sum())
 
 
 def needed(n: np.ndarray, m: int, percent: int = PERCENT) -> np.ndarray:
@@ -261,13 +277,9 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
 
     def bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at in range(0, len(f), 2000):
-                g = f.iloc[at : at + 2000]
-                x, y = (np.frombuffer(b"".join(g[c]), np.uint8).reshape(len(g), FINE // 2) for c in ("fa", "fb"))
-                most = np.minimum(x & 15, y & 15).sum(1) + np.minimum(x >> 4, y >> 4).sum(1)
-                need = needed(g["na"].to_numpy(), g["nb"].to_numpy(), percent)
-                # two texts of counts that bound nothing reach this much
-                yield g.loc[most >= np.minimum(need, 14 * FINE), ["a", "b"]]
+            need = needed(f["na"].to_numpy(), f["nb"].to_numpy(), percent).tolist()
+            most = [fine_overlap(x, y) for x, y in zip(f["fa"], f["fb"], strict=True)]
+            yield f.loc[[m is None or m >= k for m, k in zip(most, need, strict=True)], ["a", "b"]]
 
     near = materialize(pairs.join(left, "a").join(right, "b").mapInPandas(bounded, "a long, b long"))
     named = materialize(near.select(F.col("a").alias("key")).union(near.select("b")).distinct())
