@@ -1,4 +1,246 @@
 """Queries of the document operators and their oracle SQL."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from pagequarry.functions import geometry as G
+from pagequarry.functions import text as T
+from pagequarry.operators import assemble, matching, selection
+from pagequarry.plans import fixtures
+from pagequarry.streaming.words import windowed_counts
+
+PAGE = assemble.PAGE
+BOX = matching.BOX
+QUERIES, ORACLE_SQL = {}, {}
+_WITH = f"with {fixtures.DUCK_VIEWS} "
+
+
+def query(sql: str | None = None, views: bool = True):
+    """Registers a query under its function's name, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = (_WITH if views else "") + sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _r(c):
+    return F.round(c, 6)
+
+
+_LINES = "lines as (select doc_id, page_idx, l, col, string_agg(value, ' ' order by c) as text, count(*) as n from w group by all)"
+
+
+@query(f", {_LINES} select doc_id, page_idx, string_agg(text, chr(10) order by l, col) as text from lines group by all")
+def page_text(spark, sf_dir):
+    return assemble.page_text(fixtures.words(spark, sf_dir))
+
+
+@query("select doc_id, page_idx, l, col, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, round(avg(confidence), 6) as confidence from w group by all")
+def enclosing_bbox(spark, sf_dir):
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE, "l", "col").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), _r(F.avg("confidence")).alias("confidence"))
+
+
+@query("select doc_id, page_idx, count(*) as n, count(*) as n_same, round(sum(x0 * y0), 6) as s_first, round(sum(x1 * y1), 6) as s_third from w group by all")
+def polygon_roundtrip(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir).withColumn("poly", G.bbox_to_polygon(*map(F.col, BOX))).withColumn("o", G.order_points(F.col("poly"))).withColumn("b", G.polygon_to_bbox(F.col("o")))
+    same = (F.col("b.x0") == F.col("x0")) & (F.col("b.y0") == F.col("y0")) & (F.col("b.x1") == F.col("x1")) & (F.col("b.y1") == F.col("y1"))
+    corner = lambda k: F.col("o")[k]["x"] * F.col("o")[k]["y"]
+    return w.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.sum(same.cast("long")).alias("n_same"), _r(F.sum(corner(0))).alias("s_first"), _r(F.sum(corner(2))).alias("s_third"))
+
+
+@query("""select doc_id, page_idx, round(min(((x0 - 5e-1) * 800 * cos(radians(30)) - (y0 - 5e-1) * 1000 * sin(radians(30))) / 800 + 5e-1), 6) as min_x, round(max(((x0 - 5e-1) * 800 * sin(radians(30)) + (y0 - 5e-1) * 1000 * cos(radians(30))) / 1000 + 5e-1), 6) as max_y from w group by all""")
+def rotate_boxes(spark, sf_dir):
+    x, y = G.rotate_point(F.col("x0"), F.col("y0"), F.lit(30.0), fixtures.HEIGHT, fixtures.WIDTH)
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE).agg(_r(F.min(x)).alias("min_x"), _r(F.max(y)).alias("max_y"))
+
+
+@query("select doc_id, page_idx, round(cast(-(doc_id % 11 - 5) as double), 3) as angle from w group by all")
+def page_angle(spark, sf_dir):
+    turn = (F.col("doc_id") % 11 - 5).cast("double")
+    xl, yl = G.rotate_point(F.col("x0"), F.col("y0"), turn, 1, 1)
+    xr, yr = G.rotate_point(F.col("x1"), F.col("y0"), turn, 1, 1)
+    angle = F.round(F.coalesce(F.median(G.edge_angle(xl, yl, xr, yr)), F.lit(0.0)), 3) + 0.0
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE).agg(angle.alias("angle"))
+
+
+@query("select doc_id, page_idx, round(sum(least(1e0, greatest(0e0, x0 * 800 / 700))), 6) as sx, round(sum(least(1e0, greatest(0e0, y1 * 1000 / 900))), 6) as sy from w group by all")
+def relative_coords(spark, sf_dir):
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE).agg(_r(F.sum(G.to_relative(F.col("x0") * fixtures.WIDTH, 700))).alias("sx"), _r(F.sum(G.to_relative(F.col("y1") * fixtures.HEIGHT, 900))).alias("sy"))
+
+
+@query("select doc_id, page_idx, cast(dense_rank() over (partition by doc_id, page_idx order by l) - 1 as int) as row, count(*) as n from w group by doc_id, page_idx, l")
+def line_rows(spark, sf_dir):
+    return assemble.rows_of(fixtures.words(spark, sf_dir)).groupBy(*PAGE, "row").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f", {_LINES} select doc_id, page_idx, cast(dense_rank() over (partition by doc_id, page_idx order by l) - 1 as int) as row, cast(row_number() over (partition by doc_id, page_idx, l order by col) - 1 as int) as sub, text, n as n_words from lines")
+def sub_lines(spark, sf_dir):
+    return assemble.lines_of(fixtures.words(spark, sf_dir)).select(*PAGE, "row", "sub", "text", "n_words")
+
+
+_IOU = """o as (select w.doc_id, w.page_idx, w.p, p.fp, p.p pp, greatest(0e0, least(w.x1, p.x1) - greatest(w.x0, p.x0)) * greatest(0e0, least(w.y1, p.y1) - greatest(w.y0, p.y0)) i,
+ (w.x1 - w.x0) * (w.y1 - w.y0) + (p.x1 - p.x0) * (p.y1 - p.y0) u from w join p on w.doc_id = p.doc_id and w.page_idx = p.page_idx and w.l = cast(floor(p.p / 10) as int) % 40 where w.x0 < p.x1 and p.x0 < w.x1 and w.y0 < p.y1 and p.y0 < w.y1),
+ ious as (select *, i / (u - i) as iou from o)"""
+
+
+@query(f", {_IOU} select doc_id, page_idx, count(*) as n_pairs, round(sum(iou), 6) as s_iou from ious group by all")
+def box_iou(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir)
+    pairs = matching.overlaps(w.withColumn("_id", F.col("p")), fixtures.predictions(w).withColumn("_id", F.struct("fp", "p")), "_id", "_id")
+    return pairs.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_pairs"), _r(F.sum("iou")).alias("s_iou"))
+
+
+@query(f""", {_IOU}, m as (select doc_id, sum(case when iou >= 5e-1 then 1 else 0 end) m from ious group by 1), b as (select doc_id, sum(i) s from (select doc_id, page_idx, fp, pp, max(iou) i from ious group by all) group by 1),
+n as (select doc_id, count(*) n_gt, (select count(*) from p where p.doc_id = w.doc_id) n_pred from w group by doc_id)
+select doc_id, n_gt, n_pred, round(m / n_gt, 6) as recall, round(m / n_pred, 6) as precision, round_even(s / n_pred, 2) as mean_iou from n join m using (doc_id) join b using (doc_id)""")
+def localization(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir)
+    return matching.localization(w, fixtures.predictions(w))
+
+
+@query("select w.doc_id, count(*) as n, round(avg(case when w.value = p.value then 1e0 else 0e0 end), 6) as raw, round(avg(case when translate(w.value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = translate(p.value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') then 1e0 else 0e0 end), 6) as caseless from w join p on w.doc_id = p.doc_id and w.p = p.p and p.fp = 0 group by 1")
+def text_match(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir)
+    both = w.select("doc_id", "p", "value").join(fixtures.predictions(w).where("fp = 0").select("doc_id", "p", F.col("value").alias("pred")), ["doc_id", "p"])
+    fold = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return both.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), _r(F.avg((F.col("value") == F.col("pred")).cast("double"))).alias("raw"), _r(F.avg((fold("value") == fold("pred")).cast("double"))).alias("caseless"))
+
+
+@query("select w.doc_id, w.page_idx, cell_idx, string_agg(value, ' ' order by p) as text from w join cells c on w.doc_id = c.doc_id and w.page_idx = c.page_idx and (w.x0 + w.x1) / 2 between c.x0 and c.x1 and (w.y0 + w.y1) / 2 between c.y0 and c.y1 group by all")
+def table_assign(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir)
+    held = matching.contained(w, fixtures.cells(w), "cell_idx")
+    return held.groupBy(*PAGE, "cell_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "value"))), lambda v: v["value"]), " ").alias("text"))
+
+
+@query("select doc_id, page_idx, cell_idx, row_start - 1 as row_start, row_end - 1 as row_end, col_start - 1 as col_start, col_end - 1 as col_end, 6 as num_rows, 5 as num_cols from cells")
+def localize_logic(spark, sf_dir):
+    w = Window.partitionBy(*PAGE, "table_idx")
+    r, c = F.min("row_start").over(w), F.min("col_start").over(w)
+    found = fixtures.cells(fixtures.words(spark, sf_dir)).select(*PAGE, "table_idx", "cell_idx", (F.col("row_start") - r).alias("row_start"), (F.col("row_end") - r).alias("row_end"), (F.col("col_start") - c).alias("col_start"), (F.col("col_end") - c).alias("col_end"))
+    return found.withColumn("num_rows", F.max("row_end").over(w) + 1).withColumn("num_cols", F.max("col_end").over(w) + 1).drop("table_idx")
+
+
+@query(f", {_LINES}, t as (select *, case when l = 0 then 'Page-header' when l = 1 then 'Title' when l between 2 and 37 then 'Text' when l = 39 then 'Page-footer' end as label from lines) select doc_id, page_idx, label, count(*) as n from t group by all")
+def layout_labels(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir)
+    return matching.coverage_labels(assemble.lines_of(w), fixtures.regions(w)).groupBy(*PAGE, "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id, page_idx, count(*) as n, round(sum(1 - x1), 6) as s_x0, round(sum(1 - x0), 6) as s_x1 from w group by all")
+def flip_boxes(spark, sf_dir):
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), _r(F.sum(1 - F.col("x1"))).alias("s_x0"), _r(F.sum(1 - F.col("x0"))).alias("s_x1"))
+
+
+@query("select doc_id, page_idx, count(*) as n, round(sum((least(x1, 8e-1) - 2e-1) / 6e-1), 6) as s_x1 from w where x1 > 2e-1 and x0 < 8e-1 and y1 > 2e-1 and y0 < 8e-1 group by all")
+def crop_boxes(spark, sf_dir):
+    inside = fixtures.words(spark, sf_dir).where("x1 > 2e-1 and x0 < 8e-1 and y1 > 2e-1 and y0 < 8e-1")
+    return inside.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), _r(F.sum((F.least(F.col("x1"), F.lit(0.8)) - 0.2) / 0.6)).alias("s_x1"))
+
+
+@query("select doc_id, page_idx, case when ascii(value) between 97 and 109 then 'a-m' when ascii(value) between 110 and 122 then 'n-z' else 'other' end as class, count(*) as n, string_agg(value, ' ' order by p) as predictions from w group by all")
+def kie_group(spark, sf_dir):
+    first = F.ascii("value")
+    kind = F.when(first.between(97, 109), "a-m").when(first.between(110, 122), "n-z").otherwise("other")
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE, kind.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "value"))), lambda v: v["value"]), " ").alias("predictions"))
+
+
+#: Characters of the plain Latin vocabulary, in its order.
+LATIN = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+@query(f"""select doc_id, sum(length(value)) as n_chars, sum(case when len(ids) > 0 and list_min(ids) >= 0 then 1 else 0 end) as n_encodable, cast(sum(list_sum(ids)) as bigint) as s_ids from (select doc_id, value, list_transform(string_split(value, ''), lambda c: instr('{LATIN.replace("'", "''")}', c) - 1) ids from w) group by 1""")
+def encode_decode(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir).withColumn("ids", T.encode(F.col("value"), LATIN))
+    return w.groupBy("doc_id").agg(F.sum(F.length("value")).alias("n_chars"), F.sum((F.array_min("ids") >= 0).cast("long")).alias("n_encodable"), F.sum(F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)).alias("s_ids"))
+
+
+_LOGITS = "e as (select vec_id, list_transform(range(0, 8), lambda s: list_transform(embedding[s * 8 + 1 : s * 8 + 8], lambda x: cast(x as double))) m from embeddings), t as (select vec_id, list_transform(m, lambda r: list_position(r, list_max(r)) - 1) path, list_transform(m, lambda r: 1 / list_sum(list_transform(r, lambda x: exp(x - list_max(r))))) peak from e)"
+
+
+def _logits(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda s: F.transform(F.slice("embedding", s * 8 + 1, F.lit(8)), lambda x: x.cast("double"))).alias("m"))
+    return e.select("vec_id", F.transform("m", T.argmax).alias("path"), F.transform("m", T.softmax_peak).alias("peak"))
+
+
+@query(f"with {_LOGITS} select vec_id, array_to_string(list_transform(list_filter(range(1, 9), lambda i: path[i] <> 0 and (i = 1 or path[i - 1] <> path[i])), lambda i: substr('abcdefg', path[i], 1)), '') as value, round(list_min(peak), 6) as confidence from t", views=False)
+def ctc_decode(spark, sf_dir):
+    return _logits(spark, sf_dir).select("vec_id", T.ctc_path(F.col("path"), "abcdefg", 0).alias("value"), _r(F.array_min("peak")).alias("confidence"))
+
+
+@query(f"with {_LOGITS} select vec_id, array_to_string(list_transform(path[1 : coalesce(nullif(list_position(path, 7), 0) - 1, 8)], lambda c: substr('abcdefg', c + 1, 1)), '') as value, round(list_min(peak), 6) as confidence from t", views=False)
+def attention_decode(spark, sf_dir):
+    return _logits(spark, sf_dir).select("vec_id", T.until_end(F.col("path"), "abcdefg", 7).alias("value"), _r(F.array_min("peak")).alias("confidence"))
+
+
+@query("select label, vec_id, cast(k as int) as rank, round(s, 6) as score from (select label, vec_id, 1 / (1 + exp(-cast(embedding[1] as double))) s, row_number() over (partition by label order by embedding[1] desc, vec_id) k from embeddings) where k <= 5", views=False)
+def layout_topk(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").withColumn("x", F.col("embedding")[0].cast("double"))
+    ranked = e.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("x"), "vec_id"))).where("rank <= 5")
+    return ranked.select("label", "vec_id", "rank", _r(1 / (1 + F.exp(-F.col("x")))).alias("score"))
+
+
+@query("select lang, quality, count(*) as n, sum(n_chars) as n_chars from documents join labels using (doc_id) group by all", views=False)
+def dataset_join(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars").join(_table(spark, sf_dir, "labels"), "doc_id").groupBy("lang", "quality").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("select doc_id, lang from documents where doc_id not in (select doc_id from labels where toxic = 1)", views=False)
+def dataset_blacklist(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang").join(_table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("select 'documents' as part, doc_id as id, length(text) as n from documents union all select 'benchmark', item_id, length(text) from benchmark", views=False)
+def dataset_union(spark, sf_dir):
+    a = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("part"), F.col("doc_id").alias("id"), F.length("text").cast("long").alias("n"))
+    return a.unionByName(_table(spark, sf_dir, "benchmark").select(F.lit("benchmark").alias("part"), F.col("item_id").alias("id"), F.length("text").cast("long").alias("n")))
+
+
+@query("select cast(row_number() over (order by lang) - 1 as int) as class_idx, lang as class_name from (select distinct lang from documents)", views=False)
+def class_names(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").groupBy("lang").count().select((F.row_number().over(Window.orderBy("lang")) - 1).alias("class_idx"), F.col("lang").alias("class_name"))
+
+
+@query("select conv_id, turn, 'ltr' as direction from conversations", views=False)
+def text_direction(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.direction(F.coalesce("text", F.lit(""))).alias("direction"))
+
+
+@query("select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) as text from pages", views=False)
+def html_text(spark, sf_dir):
+    bare = F.regexp_replace(F.regexp_replace("html", r"(?s)<(script|style)[^>]*>.*?</(script|style)>", " "), "<[^>]*>", " ")
+    return _table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_replace(bare, r"[ \t\r\n]+", " ")).alias("text"))
+
+
+@query("select doc_id, page_idx, count(*) filter (where fp = 0) as n_kept from p group by all having count(*) filter (where fp = 0) > 0")
+def nms_keep(spark, sf_dir):
+    """Every prediction twice, the second with a lower score: the first of each pair stays."""
+    p = fixtures.predictions(fixtures.words(spark, sf_dir)).where("fp = 0")
+    twice = p.select(*PAGE, (F.col("p") * 2).alias("box_id"), *BOX, "score").unionByName(p.select(*PAGE, (F.col("p") * 2 + 1).alias("box_id"), *BOX, (F.col("score") - 2).alias("score")))
+    return selection.nms(twice, 0.5).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_kept"))
+
+
+@query("select time_bucket(interval '5 minutes', ts) as start, event_type, count(*) as n from events group by all", views=False)
+def windowed_events(spark, sf_dir):
+    return windowed_counts(_table(spark, sf_dir, "events"))
+
+
+_ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f""", {_LINES} select doc_id, page_idx, '<p>' || string_agg({_ESCAPED.format("text")}, '<br>' order by l, col) || '</p>' as html from lines group by all""")
+def export_html(spark, sf_dir):
+    lines = assemble.lines_of(fixtures.words(spark, sf_dir))
+    safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "sub", safe.alias("t")))), lambda v: v["t"]), "<br>")
+    return lines.groupBy(*PAGE).agg(F.concat(F.lit("<p>"), inner, F.lit("</p>")).alias("html"))
