@@ -247,7 +247,7 @@ def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
 
 
 def candidate_texts(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, packed words, count vector) of the sets named in ``keys`` (key), from one text of each."""
+    """(key, packed, vector, fine, n) of the sets named in ``keys`` (key), from one text of each; words and counts are compressed."""
     named = materialize(reps.join(keys, "key").select("key", F.col("rep").alias("id")))
     sieve = bloom_of(named.select(F.xxhash64("id").alias("h")), "h")
 
@@ -264,7 +264,7 @@ def candidate_texts(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFr
                 words = [words_in(t) for t in some.column("text").to_pylist()]
                 sets = shingle_sets(words)
                 vectors = [count_vector(s).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([pack(b" ".join(w)) for w in words], pa.binary()), pa.array(vectors, pa.binary()), pa.array([fine_counts(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "packed", "vector", "fine", "n"])
+                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([pack(b" ".join(w)) for w in words], pa.binary()), pa.array(map(pack, vectors), pa.binary()), pa.array([pack(fine_counts(s)) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "packed", "vector", "fine", "n"])
 
     texts = marked.mapInArrow(run, "id long, packed binary, vector binary, fine binary, n long").dropDuplicates(["id"])
     return materialize(named.join(texts, "id").select("key", "packed", "vector", "fine", "n"))
@@ -276,9 +276,10 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     left, right = points.toDF("a", "fa", "na"), points.toDF("b", "fb", "nb")
 
     def bounded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for f in frames:
             need = needed(f["na"].to_numpy(), f["nb"].to_numpy(), percent).tolist()
-            most = [fine_overlap(x, y) for x, y in zip(f["fa"], f["fb"], strict=True)]
+            most = [fine_overlap(unpack(x), unpack(y)) for x, y in zip(f["fa"], f["fb"], strict=True)]
             yield f.loc[[m is None or m >= k for m, k in zip(most, need, strict=True)], ["a", "b"]]
 
     near = materialize(pairs.join(left, "a").join(right, "b").mapInPandas(bounded, "a long, b long"))
@@ -314,7 +315,7 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
     dealt = groups.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def pairs_of(f: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(f["vector"]), np.uint8).reshape(len(f), GROUPS)
+        x = np.frombuffer(b"".join(map(zstandard.ZstdDecompressor().decompress, f["vector"])), np.uint8).reshape(len(f), GROUPS)
         n, key, root, part = f["n"].to_numpy(np.int64), f["key"].to_numpy(), f["root"].to_numpy(), f["part"].to_numpy()
         inner, outer = np.flatnonzero(part == f["j"].to_numpy()), np.flatnonzero(part == f["i"].to_numpy())
         if not len(inner) or not len(outer):
