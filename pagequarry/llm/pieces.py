@@ -16,6 +16,7 @@ Null texts encode to no ids and decode to empty text; empty texts have no ids.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -125,13 +126,13 @@ class PieceModel:
                 out.append(literal)
             if not part and k:
                 continue
-            stretches = [MARK + s for s in part.split(" ")]
+            stretches = (MARK + part).replace(" ", " " + MARK).split(" ")
             if k:
                 stretches[0] = stretches[0][1:]
                 if not stretches[0]:
                     del stretches[0]
             for key in set(stretches).difference(known):
-                known[key] = np.array(self._whole(key) if len(key) <= 2 * self.longest else list(self.stream(key)), "<i4").tobytes()
+                known[key] = array("i", self._whole(key) if len(key) <= 2 * self.longest else self.stream(key)).tobytes()
             out += map(known.__getitem__, stretches)
         if len(known) > CACHE_ENTRIES:
             known.clear()
