@@ -172,6 +172,7 @@ def encode_pieces(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
             offsets = np.r_[0, np.cumsum([len(g) for g in got])].astype(np.int32)
             flat = np.concatenate(got) if got else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=[id_col, "ids"])
+        m.known.clear()  # an idle worker would keep it beside those of other stages
 
     src = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
     return src.mapInArrow(run, f"`{id_col}` {src.schema['id'].dataType.simpleString()}, ids array<int>")
