@@ -12,20 +12,26 @@ PARAGRAPH_BREAK = 0.035
 
 def rows_of(words: DataFrame) -> DataFrame:
     """Words with ``row``: in reading order a word joins the current row while its centre is less than half the
-    median height from the row's mean centre. Ties in order are broken by ``p``."""
-    height = words.groupBy(*PAGE).agg(F.median(F.col("y1") - F.col("y0")).alias("_m"))
-    med = F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.lit(1.0))
-    item = F.struct((F.col("x0") + 2 * F.col("y1") / F.col("_med")).alias("k"), "p", ((F.col("y0") + F.col("y1")) / 2).alias("yc"))
-    pages = words.join(height, PAGE).withColumn("_med", med).groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("_a"), F.first("_med").alias("_med"))
-    start = F.struct(F.lit(-1).alias("row"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<p:bigint,row:int>>").alias("out"))
+    median height from the row's mean centre. Ties in order are broken by ``p``.
 
-    def step(a, x):
-        new = (a["n"] == 0) | (F.abs(x["yc"] - F.try_divide(a["sum"], a["n"])) >= F.col("_med") / 2)
-        row = a["row"] + F.when(new, 1).otherwise(0)
-        return F.struct(row.alias("row"), (F.when(new, 0).otherwise(a["n"]) + 1).alias("n"), (F.when(new, 0.0).otherwise(a["sum"]) + x["yc"]).alias("sum"), F.concat(a["out"], F.array(F.struct(x["p"].alias("p"), row.alias("row")))).alias("out"))
+    A page's words meet once, whole; the fold keeps only where rows start, so it is linear in the words."""
+    height = F.median(F.col("y1") - F.col("y0"))
+    rest = [c for c in words.columns if c not in PAGE]
+    pages = words.groupBy(*PAGE).agg(height.alias("_m"), F.collect_list(F.struct(*rest)).alias("_w")).withColumn("_med", F.when(F.col("_m") > 0, F.col("_m")).otherwise(F.lit(1.0)))
+    keyed = F.transform("_w", lambda w: F.struct((w["x0"] + 2 * w["y1"] / F.col("_med")).alias("k"), w["p"].alias("p"), w.alias("w")))
+    pages = pages.select(*PAGE, "_med", F.array_sort(keyed).alias("_a"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("starts"))
 
-    placed = pages.select(*PAGE, F.explode(F.aggregate("_a", start, step, lambda a: a["out"])).alias("_o")).select(*PAGE, "_o.p", "_o.row")
-    return words.join(placed, [*PAGE, "p"])
+    def step(a, x):
+        yc = (x["w"]["y0"] + x["w"]["y1"]) / 2
+        new = (a["n"] == 0) | (F.abs(yc - F.try_divide(a["sum"], a["n"])) >= F.col("_med") / 2)
+        starts = F.when(new, F.concat(a["starts"], F.array(a["i"]))).otherwise(a["starts"])
+        return F.struct((a["i"] + 1).alias("i"), (F.when(new, 0).otherwise(a["n"]) + 1).alias("n"), (F.when(new, 0.0).otherwise(a["sum"]) + yc).alias("sum"), starts.alias("starts"))
+
+    cut = pages.withColumn("_s", F.aggregate("_a", start, step, lambda a: a["starts"])).select(*PAGE, "_a", F.col("_s"), F.posexplode("_s").alias("row", "_from"))
+    stop = F.coalesce(F.get("_s", F.col("row") + 1), F.size("_a"))
+    placed = cut.select(*PAGE, "row", F.explode(F.slice("_a", F.col("_from") + 1, stop - F.col("_from"))).alias("_x"))
+    return placed.select(*PAGE, "_x.w.*", "row")
 
 
 def sub_lines(rows: DataFrame, break_dist: float = PARAGRAPH_BREAK) -> DataFrame:
