@@ -43,7 +43,7 @@ def sub_lines(rows: DataFrame, break_dist: float = PARAGRAPH_BREAK) -> DataFrame
 
 def lines_of(words: DataFrame) -> DataFrame:
     """One row for each line: text, box, number of words, mean confidence."""
-    placed = sub_lines(rows_of(words))
+    placed = sub_lines(rows_of(words.select(*PAGE, "p", "value", "x0", "y0", "x1", "y1", "confidence")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "p", "value"))), lambda v: v["value"]), " ")
     return placed.groupBy(*PAGE, "row", "sub").agg(text.alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("n_words"), F.avg("confidence").alias("confidence"))
 

@@ -38,7 +38,9 @@ DUCK_VIEWS = f"base as ({_DUCK_BASE}), w as ({_WORDS.format(base='base')}), p as
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Word boxes of every document. Texts are dealt by document before they are cut into words: they are many
+    times smaller than the boxes, and whatever groups by page then needs no shuffle of its own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition("doc_id")
     return spark.sql(_WORDS.format(base="({base_})").replace("({base_})", f"({_SPARK_BASE.format(docs='{docs}')})"), docs=docs)
 
 
