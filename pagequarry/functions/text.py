@@ -42,3 +42,38 @@ def direction(text: Column) -> Column:
     """rtl if letters of right-to-left scripts outnumber the others, else ltr."""
     rtl = F.regexp_count(text, F.lit(RTL))
     return F.when(rtl > F.regexp_count(text, F.lit(ANY_LETTER)) - rtl, "rtl").otherwise("ltr")
+
+
+def join_overlapping(a: Column, b: Column, ratio: float) -> Column:
+    """Two readings of neighbouring, overlapping crops as one text.
+
+    The cut-off last character of ``a`` and first of ``b`` go. Of the overlaps on which both agree, the one nearest
+    to the expected length wins; without one, that of the fewest differences plus the distance from it. Readings
+    of at most one character are put side by side; ties go to the shorter overlap.
+    """
+    left, right = F.substring(a, F.lit(1), F.length(a) - 1), F.substring(b, F.lit(2), F.length(b))
+    most = F.least(F.length(left), F.length(right))
+    expected = F.bround(F.length(b) * F.lit(ratio)).cast("int") - 2
+
+    def differences(k: Column) -> Column:
+        tail, head = F.split(F.substring(left, F.length(left) - k + 1, k), ""), F.split(F.substring(right, F.lit(1), k), "")
+        return F.size(F.filter(F.zip_with(tail, head, lambda x, y: x == y), lambda same: ~same))
+
+    # agreement sorts before any difference, then nearness to the expected length
+    costs = F.transform(F.sequence(F.lit(1), most), lambda k: F.struct((differences(k)).alias("d"), F.abs(k - expected).alias("off"), k.alias("k")))
+    ranked = F.transform(costs, lambda c: F.struct((c["d"] > 0).alias("differs"), (c["d"] + c["off"]).alias("cost"), c["k"].alias("k")))
+    best = F.array_min(ranked)
+    merged = F.concat(left, F.substring(right, best["k"] + 1, F.length(right)))
+    short = F.least(F.length(a), F.length(b)) <= 1
+    apart = F.when(expected < 0, F.concat(a, b)).when(expected < 1, F.concat(left, right))
+    return F.when(short, F.concat(a, b)).when(best["differs"], F.coalesce(apart, merged)).otherwise(merged)
+
+
+#: Characters that Markdown text escapes.
+MARKDOWN_SPECIAL = r"([\\`*_\[\]|#<>])"
+
+
+def markdown_line(line: Column) -> Column:
+    """A line whose characters, and whose start, Markdown reads as plain text."""
+    safe = F.regexp_replace(line, MARKDOWN_SPECIAL, r"\\$1")
+    return F.when(F.ltrim(safe).rlike(r"^([-+>#=`]|[0-9]+\.*( |$))"), F.concat(F.lit("\\"), safe)).otherwise(safe)

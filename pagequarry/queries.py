@@ -244,3 +244,25 @@ def export_html(spark, sf_dir):
     safe = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "sub", safe.alias("t")))), lambda v: v["t"]), "<br>")
     return lines.groupBy(*PAGE).agg(F.concat(F.lit("<p>"), inner, F.lit("</p>")).alias("html"))
+
+
+_MERGE = """v as (select distinct value from w), h as (select value, concat(substr(value, 1, cast(ceil(2 * length(value) / 3) as int)), '#') a, concat('#', substr(value, cast(floor(length(value) / 3) as int) + 1)) b from v),
+c as (select *, a[1 : length(a) - 1] l, b[2 : length(b)] r, cast(round_even(length(b) * 5e-1, 0) as int) - 2 e from h),
+k as (select value, a, b, l, r, e, k, (select count(*) from (select unnest(range(1, k + 1)) i) where substr(l, length(l) - k + i, 1) <> substr(r, i, 1)) d from (select *, unnest(range(1, least(length(l), length(r)) + 1)) k from c)),
+best as (select value, l, r, a, b, e, arg_min({'d': d, 'k': k}, {'differs': d > 0, 'cost': d + abs(k - e), 'k': k}) m from k group by all)"""
+
+
+@query(f", {_MERGE} select value, case when m.d > 0 and e < 0 then a || b when m.d > 0 and e < 1 then l || r else l || substr(r, cast(m.k + 1 as int)) end as merged from best")
+def string_merge(spark, sf_dir):
+    n = F.length("value")
+    a = F.concat(F.substring("value", F.lit(1), F.ceil(2 * n / 3).cast("int")), F.lit("#"))
+    b = F.concat(F.lit("#"), F.substring("value", F.floor(n / 3).cast("int") + 1, n))
+    seen = fixtures.words(spark, sf_dir).select("value").distinct()
+    return seen.select("value", a.alias("a"), b.alias("b")).select("value", T.join_overlapping(F.col("a"), F.col("b"), 0.5).alias("merged"))
+
+
+@query(rf""", {_LINES}, safe as (select doc_id, page_idx, l, col, regexp_replace(text, '([\\`*_\[\]|#<>])', '\\\1', 'g') t from lines)
+select doc_id, page_idx, string_agg(case when regexp_matches(ltrim(t), '^([-+>#=`]|[0-9]+\.*( |$))') then concat('\', t) else t end, chr(10) order by l, col) as markdown from safe group by all""")
+def markdown_lines(spark, sf_dir):
+    lines = assemble.lines_of(fixtures.words(spark, sf_dir)).withColumn("t", T.markdown_line(F.col("text")))
+    return lines.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "sub", "t"))), lambda v: v["t"]), "\n").alias("markdown"))
