@@ -1,6 +1,7 @@
 """The training-data operators against brute force, libraries and round trips, with nulls, empties and ties."""
 
 import hashlib
+import textwrap
 import zlib
 from collections import Counter
 
@@ -183,6 +184,27 @@ def test_licenses(spark, none):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
+def test_whole_licenses_headers_and_spdx(spark):
+    full = dict(licenses.full_texts())
+    comment = lambda text: "".join(f"// {x}\n" for x in text.split("\n"))
+    wrap = lambda text: "\n".join(textwrap.wrap(text, 40))
+    gpl = next(t for n, t in licenses.NOTICES if n == "GPL-3.0")
+    rows = {f"{n}/LICENSE": (t.replace("<year> <copyright holders>", "2020 Jane Roe"), (n, True)) for n, t in full.items()}
+    rows["wrapped/LICENSE"] = (wrap(full["MIT"]), ("MIT", True))
+    rows["x/a.c"] = (comment(wrap(gpl)) + "\nint main() { return 0; }\n" * 40, ("GPL-3.0", False))
+    rows["x/b.c"] = ("/* SPDX-License-Identifier: MIT */\n" + "int x = 0;\n" * 40, ("MIT", False))
+    rows["x/c.c"] = ("// SPDX-License-Identifier: Zlib\n" + "int x = 0;\n" * 40, (None, False))
+    rows["x/d.c"] = (comment(full["BSD-3-Clause"]) + "int x = 0;\n" * 400, ("BSD-3-Clause", False))
+    rows["x/e.c"] = ("# Copyright 2020 Foo. All rights reserved.\n" + "int x = 0;\n" * 40, ("Proprietary", False))
+    rows["x/f.c"] = ("GNU GENERAL PUBLIC LICENSE\n" + "int x = 0;\n" * 40, ("GPL", False))
+    rows["x/g.c"] = ("we had copyright and a license of the warranty\n" * 9, (None, False))
+    rows["MIT/src/h.c"] = ("int x = 0;", (None, False))
+    df = spark.createDataFrame([(i, p, t) for i, (p, (t, _)) in enumerate(rows.items())], "doc_id long, path string, text string")
+    got = {r.path: r for r in licenses.scan(df).collect()}
+    assert {p: (r.own_license, r.license_file) for p, r in got.items()} == {p: e for p, (_, e) in rows.items()}
+    assert (got["MIT/src/h.c"].license, got["MIT/src/h.c"].license_dir) == ("MIT", "MIT")
+
+
 def test_quality(spark, odd, none):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
