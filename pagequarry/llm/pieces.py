@@ -6,16 +6,17 @@ boundaries in the window meet in one boundary, everything before it is final and
 Between equal sums the path with the longer last piece wins.
 
 White space is kept as it is: each space becomes U+2581, one more stands before the text, and a
-U+2581 of the text itself goes out as bytes, so decoding gives every text back exactly. Pieces for
-runs of spaces are not used: no other piece has U+2581 after its first place, so all paths meet
-before each one. Such stretches are remembered per worker; one no longer than the window is solved
-at once, as the window would not move over it.
+U+2581 of the text itself goes out as bytes, so decoding gives every text back exactly. A piece with
+U+2581 after its first place is a run of them, so all paths meet where a run follows another character.
+The stretches between, a run with the word after it, are remembered per worker; one no longer than the
+window is solved at once, as the window would not move over it.
 
 Null texts encode to no ids and decode to empty text; empty texts have no ids.
 """
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pagequarry.llm.common import slices, texts_of
 
 MARK = "▁"
+#: A run of marks with what follows it.
+STRETCH = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 CACHE_ENTRIES = 500_000
 #: Added to the lowest score for a character that no piece has, and which goes out as bytes.
 UNKNOWN_PENALTY = 10
@@ -51,19 +54,20 @@ class PieceModel:
                 self.out.append(b"")
             else:
                 self.out.append(piece.replace(MARK, " ").encode())
-                if MARK not in piece[1:]:
-                    self.score[piece], self.id[piece] = round(sp.get_score(i)), i
+                self.score[piece], self.id[piece] = round(sp.get_score(i)), i
+                if MARK in piece[1:] and piece.strip(MARK):
+                    raise ValueError(f"piece {piece!r} has {MARK} after another character")
         self.longest = max(map(len, self.score))
         self.unknown = min(self.score.values()) - UNKNOWN_PENALTY
         self.known: dict[str, bytes] = {}
 
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
-        """Ids of a stream of characters; holds little more than the longest piece's length."""
+        """Ids of a stream of characters; holds little more than the longest piece, or run of spaces."""
         longest, score = self.longest, self.score
         base, buf = 0, ""  # buf[k] is the character after boundary base + k
         best: dict[int, int] = {0: 0}
         back: dict[int, int] = {0: 0}
-        at = 0
+        at, wait = 0, 2 * longest
         for c in chars:
             buf += c
             at += 1
@@ -78,8 +82,9 @@ class PieceModel:
                 if s in best and (top is None or best[s] + value > top):
                     top, start = best[s] + value, s
             best[at], back[at] = top, start
-            if at - base >= 2 * longest:
+            if at - base >= wait:
                 fixed = self._meet(back, base, at, longest)
+                wait = 2 * longest if fixed > base else 2 * (at - base)  # in a run of spaces paths meet at its start only
                 if fixed > base:
                     yield from self._ids(buf, back, base, base, fixed)
                     buf = buf[fixed - base :]
@@ -126,11 +131,14 @@ class PieceModel:
                 out.append(literal)
             if not part and k:
                 continue
-            stretches = (MARK + part).replace(" ", " " + MARK).split(" ")
-            if k:
-                stretches[0] = stretches[0][1:]
-                if not stretches[0]:
-                    del stretches[0]
+            if "  " in (part if k else " " + part):
+                stretches = STRETCH.findall((part if k else " " + part).replace(" ", MARK))
+            else:
+                stretches = (MARK + part).replace(" ", " " + MARK).split(" ")
+                if k:
+                    stretches[0] = stretches[0][1:]
+                    if not stretches[0]:
+                        del stretches[0]
             for key in set(stretches).difference(known):
                 known[key] = array("i", self._whole(key) if len(key) <= 2 * self.longest else self.stream(key)).tobytes()
             out += map(known.__getitem__, stretches)

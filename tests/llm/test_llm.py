@@ -152,6 +152,22 @@ def test_pieces_round_trip(docs, odd, none):
         assert list(m.stream(key)) == m._whole(key)
 
 
+def test_pieces_use_runs_of_spaces():
+    m = pieces.piece_model(tokenizer("piece_bpe_32k.model"))
+    # the model has pieces of 2 to 14 and of 16 spaces, all of one score, so the best path takes the fewest
+    assert m.encode("  " + "a") == m._whole("▁▁▁a") and len(m.encode(" " * 15)) == 1 and len(m.encode(" " * 31)) == 2
+    for text in ("    if x:\n        return  y   # z", "a  b ▁  c ▁▁ d  ", "  ", "a" * 40 + " " * 100 + "b  c"):
+        parts, first = [], True
+        for part in text.split("▁"):
+            parts.append(m._whole(("▁" if first else "") + part.replace(" ", "▁")))
+            first = False
+        literal = [m.byte_id[b] for b in "▁".encode()]
+        assert m.encode(text) == sum(([*literal, *p] for p in parts[1:]), parts[0])
+        assert m.decode(m.encode(text)) == text
+    key = "▁" * 100_000 + "abc" * 50
+    assert list(m.stream(key)) == m._whole(key)
+
+
 def test_chat(spark):
     log = spark.createDataFrame(
         [(1, 0, "message", None, "user", "hi </s>\\"), (1, 1, "message", None, "assistant", "a"), (1, 2, "delta", 1, "assistant", "b"), (1, 3, "edit", 0, "user", "hello [/INST]"), (1, 4, "regenerate", 1, "assistant", ""), (1, 5, "delta", 1, "assistant", "new <s>"), (2, 0, "message", None, "user", None), (None, 0, None, None, None, None)],
