@@ -116,6 +116,64 @@ def test_lm_base_is_exact(docs, odd, none):
     assert lm.score_texts(none, tokenizer("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def small_scorer():
+    """A scorer of untrained weights and made-up counts."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sub = lm.subwords(tokenizer("byte_bpe_50k.tiktoken"))
+    cls = np.where(sub.starts, rng.integers(1, 40, sub.size), rng.integers(40, lm.CLASSES, sub.size))
+    cls[-1] = 0
+    net = lm.Attention(cls, sub.starts)
+    net.w = {n: w + rng.normal(0, 0.3, w.shape).astype(np.float32) for n, w in net.w.items()}
+    counts = rng.integers(0, 3, (lm.CLASSES + 2, sub.size)).astype(float)
+    return sub, lm.Scorer(counts, rng.integers(0, 3, (lm.CLASSES, sub.size)), cls, net, sub.starts)
+
+
+def test_lm_continuations_sum_to_one():
+    import numpy as np
+
+    sub, scorer = small_scorer()
+    ids = sub.ids(words("the quick brown foxes jumped")).astype(np.int64)
+    x = np.full((1, lm.WINDOW), scorer.end)
+    x[0, 1 : len(ids)] = ids[:-1]
+    for at in (0, 3, len(ids) - 1):
+        once = np.zeros(x.shape, bool)
+        once[0, at] = True
+        y = np.zeros(x.shape, np.int64)
+        within = np.empty(lm.CLASSES)
+        for c in range(lm.CLASSES):
+            y[0, at] = c
+            given, start, goes = scorer.net.log_prob(x, y, once)
+            within[c] = np.exp(given[0])
+        every = within[scorer.cls] * 10 ** scorer.inside[scorer.cls[x[0, at]]].astype(float)
+        assert abs(np.exp(start[0]) + np.exp(goes[0]) - 1) < 1e-5
+        assert abs(every[sub.starts].sum() - 1) < 1e-3 and abs(every[~sub.starts].sum() - 1) < 1e-3
+    # known words take the counts of their first id, others the rest
+    _, _, share, each = scorer.score([ids])
+    first = ids[sub.starts[ids]]
+    assert np.allclose(scorer.first[first] * each + share, 1)
+
+
+def test_lm_batches_do_not_matter():
+    import numpy as np
+
+    sub, scorer = small_scorer()
+    texts = [sub.ids(words(t)) for t in ("", "a b", "some longer text of words " * 60, "x" * 900)]
+    together = scorer.score(texts)
+    alone = [np.concatenate(x) for x in zip(*[scorer.score([t]) for t in texts])]
+    assert all(np.allclose(a, b, rtol=1e-3, atol=1e-3) for a, b in zip(together, alone))
+    # a later word doesn't change what was before it
+    longer = scorer.score([np.concatenate([texts[2][:-1], sub.ids(words("more"))])])
+    assert np.allclose(longer[0][:200], scorer.score([texts[2]])[0][:200], rtol=1e-3, atol=1e-3)
+
+
+def test_lm_beats_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    r = lm.score_texts(docs, tokenizer("byte_bpe_50k.tiktoken")).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.avg((F.col("score") > F.col("base_score")).cast("int"))).first()
+    assert r[0] > r[1] and r[2] > 0.5
+
+
 def test_rules(spark, docs, odd, none):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     text = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
