@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none."""
+    """The folder that driver and executors share. Where the session names none, a local session gets its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file:///tmp/checkpoints/pagequarry"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -50,12 +54,35 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def small(df: DataFrame, max_rows: int) -> DataFrame:
+#: Bytes of a table that may be broadcast, where its rows are not all of a few numbers.
+MAX_BYTES = 64_000_000
+
+
+def small(df: DataFrame, max_rows: int, bytes_of_row: Column | None = None) -> DataFrame:
     """``df`` with a broadcast hint only if it is proven to have at most ``max_rows`` rows; joins shuffle otherwise.
 
-    ``df`` should be materialized, as its rows are counted (up to the bound) here.
+    With ``bytes_of_row`` the rows must also sum to ``MAX_BYTES`` at most. ``df`` should be materialized, as
+    its rows are counted (up to the bound) here.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    if df.limit(max_rows + 1).count() > max_rows:
+        return df
+    if bytes_of_row is not None and (df.agg(F.sum(bytes_of_row)).first()[0] or 0) > MAX_BYTES:
+        return df
+    return F.broadcast(df)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, longer where ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def matched(df: DataFrame, by: list[Column], keys: DataFrame, how: str, max_rows: int = 400_000) -> DataFrame:
+    """Rows of ``df`` whose columns ``by`` are (left_semi), or are not (left_anti), a row of ``keys``; null is like null."""
+    other = small(keys.toDF(*[unused(df, f"_key{k}") for k in range(len(by))]), max_rows)
+    return df.join(other, reduce(lambda a, b: a & b, [c.eqNullSafe(other[n]) for c, n in zip(by, other.columns, strict=True)]), how)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4_000_000) -> Iterator[pa.RecordBatch]:

@@ -8,13 +8,16 @@ coordinates; pairs that survive are verified on the sets.
 Distribution. Equal sets are one key (a 64-bit sum over the set). A key goes to the blocks of its
 prefix, its first n - ceil(0.8 n) + 1 shingles in one global order; sets that link share one of these.
 The order puts shingles that a sketch of fixed size counts often last, so that passages which many
-texts share do not make blocks. Keys alone in a block leave. In each block that is left
+texts share do not make blocks. Keys alone in a block leave, and of blocks with the same keys one stays.
+The R-trees of the blocks that are left are searched twice:
 
-1. the key whose prefix is shared most (the text that others were made from) is paired with the
-   others; verified pairs give components, and
-2. keys of different components in a block are searched by the R-tree, so every link between
-   components is found. Pairs within a component are not made, which spares the square of a group
-   of copies. A block too large for one tree is searched in pairs of slices.
+1. for the key whose prefix is shared most (the text that others were made from); verified pairs give
+   components, and
+2. for all keys, among those of other components, so every link between components is found. Pairs
+   within a component are not made, which spares the square of a group of copies. A block too large for
+   one tree is searched in pairs of slices.
+
+``linked_pairs`` makes the pairs within components too, and counts links.
 
 Sets for verification are made again from the texts that have a candidate, found through a Bloom filter
 of fixed size, and compared two at a time.
@@ -36,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import UPPER, materialize, slices, small
+from pagequarry.llm.common import UPPER, matched, materialize, slices, small
 from pagequarry.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 80
@@ -188,11 +191,11 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
 
 
 def profile(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, n, key) of every row of ``docs`` (id, text), and the cells of the frequency sketch."""
+    """(id, tag, n, key) of every row of ``docs`` (id, tag, text), and the cells of the frequency sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.int64)
-        names = ["id", "n", "key", "cell", "times"]
+        names = ["id", "tag", "n", "key", "cell", "times"]
         for batch, sets in _batches(batches):
             for s in sets:
                 cells += np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) if len(s) > CELLS // 8 else 0
@@ -200,13 +203,13 @@ def profile(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if short:
                 cells += np.bincount((np.concatenate(short) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
             k = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64())], names=names)
         used = np.flatnonzero(cells)
         k = len(used)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(used.astype(np.int32)), pa.array(cells[used])], names=names)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(k, pa.int64())] * 4, pa.array(used.astype(np.int32)), pa.array(cells[used])], names=names)
 
-    both = materialize(docs.mapInArrow(run, "id long, n long, key long, cell int, times long"))
-    return both.where("cell is null").select("id", "n", "key"), both.where("cell is not null").select("cell", "times")
+    both = materialize(docs.mapInArrow(run, "id long, tag long, n long, key long, cell int, times long"))
+    return both.where("cell is null").select("id", "tag", "n", "key"), both.where("cell is not null").select("cell", "times")
 
 
 def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
@@ -249,7 +252,7 @@ def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
 def candidate_texts(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, packed, vector, fine, n) of the sets named in ``keys`` (key), from one text of each; words and counts are compressed."""
     named = materialize(reps.join(keys, "key").select("key", F.col("rep").alias("id")))
-    sieve = bloom_of(named.select(F.xxhash64("id").alias("h")), "h")
+    sieve = bloom_of(named.select(F.xxhash64("id").alias("h")), "h")  # an id may have several texts: the key decides
 
     marked = docs.withColumns({f"_b{k}": F.pmod(F.xxhash64(F.lit(k), F.xxhash64("id")), F.lit(BLOOM_WORDS * 64)) for k in (1, 2)})
 
@@ -264,10 +267,10 @@ def candidate_texts(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFr
                 words = [words_in(t) for t in some.column("text").to_pylist()]
                 sets = shingle_sets(words)
                 vectors = [count_vector(s).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([some.column("id"), pa.array([pack(b" ".join(w)) for w in words], pa.binary()), pa.array(map(pack, vectors), pa.binary()), pa.array([pack(fine_counts(s)) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["id", "packed", "vector", "fine", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([pack(b" ".join(w)) for w in words], pa.binary()), pa.array(map(pack, vectors), pa.binary()), pa.array([pack(fine_counts(s)) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["key", "packed", "vector", "fine", "n"])
 
-    texts = marked.mapInArrow(run, "id long, packed binary, vector binary, fine binary, n long").dropDuplicates(["id"])
-    return materialize(named.join(texts, "id").select("key", "packed", "vector", "fine", "n"))
+    texts = marked.mapInArrow(run, "key long, packed binary, vector binary, fine binary, n long").where("n > 0").dropDuplicates(["key"])
+    return materialize(texts.join(small(named.select("key"), 500_000), "key", "left_semi"))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -303,15 +306,37 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
     return both.mapInPandas(check, "a long, b long")
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows with the number of slices of ``TREE_ROWS`` that their block has, and their own."""
+    counts = rows.groupBy("token").count().where(F.col("count") > TREE_ROWS).withColumn("parts", F.ceil(F.col("count") / TREE_ROWS).cast("int")).select("token", "parts")
+    return rows.join(counts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+
+
 def tree_pairs(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of keys of different roots in one block that the R-trees cannot rule out.
 
     ``rows`` has token, key, n, root, vector. Blocks larger than ``TREE_ROWS`` are cut into slices, and
     every pair of slices is a block of its own. A task holds a few blocks at a time.
     """
-    counts = rows.groupBy("token").count().where(F.col("count") > TREE_ROWS).withColumn("parts", F.ceil(F.col("count") / TREE_ROWS).cast("int")).select("token", "parts")
-    cut = rows.join(counts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    groups = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "n", "root", "vector")
+    groups = _cut(rows).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("token", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "n", "root", "vector")
+    return _searched(groups)
+
+
+def lead_pairs(rows: DataFrame, leads: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a block's lead and a key of the block that the R-trees cannot rule out.
+
+    ``rows`` has token, key, n, vector and ``leads`` token and the row of the lead. Each slice of a large block
+    is searched for the lead alone, so the work is linear in the block. Slices are numbered from 0, the lead is in -1.
+    """
+    cut = _cut(rows)
+    members = cut.select("token", F.lit(-1).alias("i"), F.col("part").alias("j"), "part", "key", "n", F.col("key").alias("root"), "vector")
+    slices_ = cut.select("token", "part").distinct().join(leads, "token")
+    asked = slices_.select("token", F.lit(-1).alias("i"), F.col("part").alias("j"), F.lit(-1).alias("part"), "key", "n", F.col("key").alias("root"), "vector")
+    return _searched(members.union(asked))
+
+
+def _searched(groups: DataFrame) -> DataFrame:
+    """Pairs of each (token, i, j): points of part i are looked for in the R-tree of those of part j."""
     dealt = groups.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
 
     def pairs_of(f: pd.DataFrame, block: np.ndarray) -> pd.DataFrame:
@@ -349,9 +374,8 @@ def tree_pairs(rows: DataFrame) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def link_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id of each row of ``df``: the smallest id that links can reach."""
-    docs = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"))
+def _blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(profiles, reps, rows of distinct blocks (token, key, n), texts of their keys) of ``docs`` (id, tag, text)."""
     profiles, cells = profile(docs)
     often = np.zeros(CELLS, np.int64)
     for r in cells.groupBy("cell").agg(F.sum("times").alias("times")).collect():
@@ -362,23 +386,86 @@ def link_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     here = Window.partitionBy("token").orderBy("key")
     shared = materialize(tokens.select("*", F.lag("key").over(here).alias("_p"), F.lead("key").over(here).alias("_n")).where("(_p is not null and _p <> key) or (_n is not null and _n <> key)").select("token", "key", "n").distinct())
     texts = candidate_texts(docs, reps, shared.select("key").distinct())
+    return profiles, reps, shared, texts
+
+
+def _distinct_blocks(rows: DataFrame, only: str = "true") -> DataFrame:
+    """(token) of the blocks of ``rows`` (token, key, root) for which ``only`` holds, one of those with the same keys."""
+    blocks = rows.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("key")).alias("_x"), F.min("key").alias("_m")).where(only)
+    return blocks.groupBy("_c", "_x", "_m").agg(F.min("token").alias("token")).select("token")
+
+
+def _star_pairs(shared: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of every block's lead and its other keys, found in the blocks' R-trees."""
+    kept = _distinct_blocks(shared.withColumn("root", F.col("key")))
     # the share of a prefix that others have: highest for the text that copies were made from
-    share = F.count(F.lit(1)).over(Window.partitionBy("key")) / (F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1)
-    lead = F.first(F.struct("key", "n")).over(Window.partitionBy("token").orderBy(F.desc("share"), "key"))
-    stars = shared.withColumn("share", share).select("key", "n", lead.alias("l")).where("l.key <> key").where(f"least(n, l.n) * 100 >= greatest(n, l.n) * {PERCENT}")
-    pairs = materialize(stars.select(F.col("l.key").alias("a"), F.col("key").alias("b")).distinct())
+    share = F.col("_c") / (F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1)
+    shares = shared.groupBy("key", "n").agg(F.count(F.lit(1)).alias("_c")).select("key", share.alias("share"))
+    points = texts.join(shares, "key").select("key", "share", "vector")
+    rows = materialize(shared.join(kept, "token").join(points, "key"))
+    leads = rows.groupBy("token").agg(F.max_by(F.struct("key", "n", "vector"), F.struct("share", -F.col("key"))).alias("_l")).select("token", "_l.*")
+    return lead_pairs(rows.select("token", "key", "n", "vector"), leads)
+
+
+def link_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagged: bool = False) -> DataFrame:
+    """id, n_shingles, component_id of each row of ``df``: the smallest id that links can reach.
+
+    An id may have several texts: each row has the component of its own text. With ``tagged`` the rows also
+    have ``tag``, the hash of their text, and ``root``, which names the component by one of its sets.
+    """
+    docs = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(df[text_col]).alias("tag"), df[text_col].alias("text"))
+    profiles, reps, shared, texts = _blocks(docs)
+    pairs = materialize(_star_pairs(shared, texts))
     edges = materialize(verified(pairs, texts))
     roots = connected_components(edges)
     rooted = shared.join(small(roots, 500_000).withColumnRenamed("id", "key"), "key", "left").select("token", "key", "n", F.coalesce("root", "key").alias("root")).repartition("token")
-    # blocks of different roots; of blocks with the same keys one is enough
-    blocks = rooted.groupBy("token").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi"), F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("key")).alias("_x"), F.min("key").alias("_m")).where("_lo <> _hi")
-    mixed = blocks.groupBy("_c", "_x", "_m").agg(F.min("token").alias("token")).select("token")
-    rest = rooted.join(mixed, "token").join(texts.select("key", "vector"), "key", "left")
-    more = materialize(verified(materialize(tree_pairs(rest).join(pairs, ["a", "b"], "left_anti").join(pairs.toDF("b", "a"), ["a", "b"], "left_anti")), texts))
+    # blocks of different roots
+    rest = rooted.join(_distinct_blocks(rooted, "_lo <> _hi"), "token").join(texts.select("key", "vector"), "key", "left")
+    more = materialize(verified(materialize(tree_pairs(rest).join(pairs, ["a", "b"], "left_anti")), texts))
     final = connected_components(edges.union(more))
     joined = reps.join(final.withColumnRenamed("id", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
-    named = materialize(joined.join(least, "root").select("key", "component"))
+    named = materialize(joined.join(least, "root").select("key", "component", "root"))
     # empty sets link with nothing, whatever their key
     done = profiles.join(named.withColumnRenamed("key", "_k"), (F.col("key") == F.col("_k")) & (F.col("n") > 0), "left")
-    return done.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    return done.select(F.col("id").alias(id_col), *[F.col("tag"), F.col("root")] * tagged, F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """All links: (pairs, members). Pairs (a, b) are between different sets, named by their keys; members
+    have id, key and n_links, the number of other rows that the row links with, equal ones included.
+
+    No pair is left out, so a group of near copies gives the square of its distinct sets. Rows without
+    words or an id have no key and no links.
+    """
+    docs = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(df[text_col]).alias("tag"), df[text_col].alias("text"))
+    profiles, _, shared, texts = _blocks(docs)
+    rows = shared.withColumn("root", F.col("key"))
+    rest = rows.join(_distinct_blocks(rows), "token").join(texts.select("key", "vector"), "key")
+    pairs = materialize(verified(materialize(tree_pairs(rest)), texts))
+    held = profiles.where("n > 0 and id is not null")
+    size = materialize(held.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
+    both = pairs.union(pairs.select("b", "a"))
+    near = both.join(size.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("size").alias("others"))
+    links = size.join(near, "key", "left").select("key", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    keys = profiles.select("id", F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("key")).alias("key"))
+    return pairs, keys.join(links, "key", "left").select(F.col("id").alias(id_col), "key", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near copies: of each component the row of the smallest (id, text hash) stays.
+
+    Rows without words or without an id are copies of nothing and all stay. Columns are as they were.
+    """
+    found = link_groups(df, id_col, text_col, tagged=True).select(F.col(id_col).alias("id"), "tag", F.col("n_shingles").alias("n"), "root")
+    rows = materialize(found.where("n > 0 and id is not null").groupBy("root", "id", "tag").agg(F.count(F.lit(1)).alias("c")))
+    first = rows.groupBy("root").agg(F.min(F.struct("id", "tag")).alias("_f")).select(F.col("root").alias("_r"), "_f.*").toDF("_r", "_i", "_t")
+    kept = rows.join(first, (F.col("root") == F.col("_r")) & (F.col("id") == F.col("_i")) & (F.col("tag") == F.col("_t")), "left")
+    dropped = materialize(kept.where("_r is null").select("id", "tag"))
+    again = materialize(kept.where("_r is not null and c > 1").select("id", "tag"))
+    by = [df[id_col].cast("long"), F.xxhash64(df[text_col])]
+    left = matched(df, by, dropped, "left_anti")
+    if again.isEmpty():
+        return left
+    # rows of one id and text: one stays
+    return matched(left, by, again, "left_anti").unionByName(matched(left, by, again, "left_semi").dropDuplicates([id_col, text_col]))

@@ -27,6 +27,8 @@ UNKNOWN = "und"
 #: Training texts of a language, bytes of its dictionary, and learned languages, at most.
 TRAIN_TEXTS, DICTIONARY_BYTES, MAX_LANGUAGES = 60, 65_536, 256
 BLOCK_BYTES = 4096
+#: Bytes of a text that stay together in a dictionary.
+PIECE_BYTES = 256
 #: Matches of four bytes already count, as they are what tells languages apart.
 SEARCH = {"strategy": zstandard.STRATEGY_LAZY, "min_match": 4, "window_log": 17, "hash_log": 17, "chain_log": 16, "search_log": 3, "target_length": 16}
 #: Relative margin below which a text is rejected, and the margin at which the score is about 0.88.
@@ -37,29 +39,45 @@ _LETTER = regex.compile(r"\p{L}")
 def learn(df: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A dictionary's content for each language of the rows where ``training`` holds.
 
-    A language is learned from the ``TRAIN_TEXTS`` whole texts of lowest hash (a bound of the
-    classifier's sample); texts without a letter teach nothing.
+    A language is learned from the ``TRAIN_TEXTS`` texts of lowest hash, and the ``MAX_LANGUAGES`` languages
+    of most rows are (bounds of the classifier's sample). Of each text the dictionary holds pieces from
+    its whole length; only as many bytes as a dictionary has leave a task. Texts without a letter teach nothing.
     """
     rows = df.where(training).select(df[id_col].alias("_id"), df[lang_col].alias("_lang")).where(F.col("_lang").isNotNull()).withColumn("_o", F.xxhash64("_id"))
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_o", "_id"))
-    chosen = rows.withColumn("_r", rank).where(F.col("_r") <= TRAIN_TEXTS).select("_id", "_lang").distinct().limit(MAX_LANGUAGES * TRAIN_TEXTS).collect()
-    ids = {r["_id"] for r in chosen}
+    often = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()}
+    ids = {r["_id"] for r in rows.where(F.col("_lang").isin(list(often))).withColumn("_r", rank).where(F.col("_r") <= TRAIN_TEXTS).select("_id").distinct().collect()}
     if not ids:
         return {}
-    often = {r["_lang"]: r["count"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()}
-    texts = df.where(training).where(df[id_col].isin(list(ids))).select(df[id_col].alias("_id"), df[lang_col].alias("lang"), df[text_col].alias("text"))
+    texts = df.where(training).where(df[id_col].isin(list(ids))).select(F.xxhash64(df[id_col]).alias("h"), df[lang_col].alias("lang"), df[text_col].alias("text")).where(F.col("lang").isin(list(often)) & F.col("text").isNotNull())
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            parts = [spread(normal(t), DICTIONARY_BYTES) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("lang"), pa.array(parts, pa.binary())], names=["h", "lang", "part"])
+
     found: dict[str, list[bytes]] = {}
-    for r in sorted(texts.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).distinct().collect(), key=lambda r: (r["lang"], r["_id"])):
-        found.setdefault(r["lang"], []).append(normal(r["text"]))
+    # an id that repeats has few different texts; a third text or more of one teaches nothing new
+    pieces = texts.mapInArrow(cut, "h long, lang string, part binary").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang", "h").orderBy("part"))).where("k <= 2")
+    for r in sorted(pieces.collect(), key=lambda r: (r["lang"], r["h"], bytes(r["part"]))):
+        found.setdefault(r["lang"], []).append(bytes(r["part"]))
     return {lang: _fill(found[lang]) for lang in sorted(found, key=lambda x: (-often.get(x, 0), x))}
 
 
+def spread(raw: bytes, size: int) -> bytes:
+    """``size`` bytes of ``raw``, in pieces of equal distance over all of it; all where it has fewer."""
+    if len(raw) <= size:
+        return raw
+    n = max(1, size // PIECE_BYTES)
+    return b"".join(raw[k * len(raw) // n : k * len(raw) // n + size // n] for k in range(n))
+
+
 def _fill(parts: list[bytes]) -> bytes:
     """Every text gives the same share of the dictionary; what short texts leave goes to longer ones."""
     content, room = b"", DICTIONARY_BYTES
     for k, part in enumerate(sorted(parts, key=lambda p: (len(p), p))):
         share = room // (len(parts) - k)
-        taken = part[:share]
+        taken = spread(part, share)
         content, room = content + taken, room - len(taken)
     return content
 

@@ -48,7 +48,7 @@ def op6_piece_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     log = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
-    return chat.digests(chat.reconstruct(chat.events_of(log)))
+    return chat.digests(chat.reconstruct(chat.edits_of(log)))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,10 +32,16 @@ MAX_RULES, MAX_CONDITIONS, THRESHOLDS = 8, 3, 64
 MIN_COVER = 5
 
 
-def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, n_bangs (long) of each row."""
+def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagged: bool = False) -> DataFrame:
+    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_chars, n_bangs (long) of each row.
+
+    With ``tagged`` the rows also have ``tag``, the hash of their text. Materialize the result before it is
+    filtered or joined: the optimizer may otherwise repeat the statistics' expressions in the filter.
+    Repeated windows are told by hashes whose neighbours are compared, so where windows of one hash but
+    other words lie between two equal ones, a repeat is missed (of 43 bits at 10^6 words).
+    """
     text, words = F.col("_t"), F.col("_w")
-    src = df.select(df[id_col].alias("_id"), F.coalesce(df[text_col], F.lit("")).alias("_t"))
+    src = df.select(df[id_col].alias("_id"), F.xxhash64(df[text_col]).alias("_tag"), F.coalesce(df[text_col], F.lit("")).alias("_t"))
     src = src.withColumn("_w", F.filter(F.split(text, SPLIT), lambda w: w != ""))
     # Three-word windows as hashes whose low bits give way to the position: one sort of longs brings equal
     # windows together, and neighbours are equal only if their words are.
@@ -62,6 +68,7 @@ def text_stats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     src = src.withColumn("_l", lines)
     return src.select(
         F.col("_id").alias(id_col),
+        *[F.col("_tag").alias("tag")] * tagged,
         F.size(words).cast("long").alias("n_words"),
         F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -175,8 +182,8 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     return {n: np.array([r[n] for r in rows], float) for n in FEATURES}, np.array([r["quality"] == 0 for r in rows], bool)
 
 
-def apply_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def apply_rules(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", tagged: bool = False) -> DataFrame:
     """id, the statistics, base_failed and kept for each row of ``df``; rules are learned from ``labels``."""
-    stats = materialize(text_stats(df, id_col, text_col))
+    stats = materialize(text_stats(df, id_col, text_col, tagged))
     rules = learn_rules(*labelled_sample(stats, labels, id_col))
     return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))

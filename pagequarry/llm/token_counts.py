@@ -24,6 +24,8 @@ from pagequarry.llm.common import slices, texts_of
 
 #: A worker forgets its known pre-tokens beyond this many.
 CACHE_ENTRIES = 400_000
+#: Letters whose lower case the library doesn't know.
+YOUNG = regex.compile("([\uA7CB\uA7DC])")
 NO_RANK = np.int64(1 << 40)
 
 
@@ -102,7 +104,8 @@ class RankMerger:
         if not text.isascii():
             # each capital sigma is lowered alone, not by its place in a word
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.pattern.findall(text.lower())
+        # capitals younger than the library's tables stay
+        return self.pattern.findall(text.lower() if text.isascii() or not YOUNG.search(text) else "".join(p if YOUNG.match(p) else p.lower() for p in YOUNG.split(text)))
 
     def counts(self, texts: list[str]) -> list[int]:
         split = [self.pretokens(t) for t in texts]

@@ -67,6 +67,27 @@ def test_jaccard_against_all_pairs(spark, docs, odd, none):
     assert jaccard.link_groups(odd).where("doc_id is null and component_id is null").count() == 1
 
 
+def test_jaccard_ids_with_several_texts(spark):
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, a), (1, b), (5, a + " x"), (6, b + " y"), (7, ""), (7, "")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.link_groups(df).collect()} == {(1, 1), (5, 1), (6, 1), (7, 7)}
+    kept = jaccard.keep_one(df.union(df).withColumn("_id", F.lit(1)))
+    assert sorted((r.doc_id, r.text[:1]) for r in kept.collect()) == [(1, "a"), (1, "b"), (7, ""), (7, ""), (7, ""), (7, "")] and kept.columns[-1] == "_id"
+
+
+def test_all_pairs_and_their_number(spark, docs, odd):
+    both = docs.select("doc_id", "text").unionByName(odd.where("doc_id is not null").select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
+    rows = [(r.doc_id, shingles(r.text)) for r in both.collect()]
+    expected = Counter()
+    for k, (i, s) in enumerate(rows):
+        links = sum(1 for m, (_, t) in enumerate(rows) if m != k and s and t and 100 * len(s & t) >= 80 * (len(s) + len(t) - len(s & t)))
+        expected[i, links] += 1
+    pairs, members = jaccard.linked_pairs(both)
+    assert Counter((r.doc_id, r.n_links) for r in members.collect()) == expected
+    assert pairs.count() == pairs.distinct().count() > 0
+
+
 def test_forest_finds_every_pair_that_may_link():
     import numpy as np
 
@@ -205,25 +226,37 @@ def test_pieces_round_trip(docs, odd, none):
     back = pieces.decode_pieces(pieces.encode_pieces(odd.where("doc_id is not null"), path), path)
     assert {(r.doc_id, r.text) for r in back.collect()} == {(i, t or "") for i, t in enumerate(ODD)}
     assert pieces.encode_digest(none, path).count() == 0
-    m = pieces.piece_model(path)
-    for key in ("▁thontinwh" * 1, "▁" + "abcde" * 40, "▁xyz🙂é"):
-        assert list(m.stream(key)) == m._whole(key)
 
 
-def test_pieces_use_runs_of_spaces():
+def best_scores(m, text):
+    """The sum of the best segmentation's scores, by trying every piece at every place."""
+    best = [0]
+    for end in range(1, len(text) + 1):
+        ways = [best[s] + m.score[text[s:end]] for s in range(max(0, end - m.longest), end) if text[s:end] in m.score]
+        best.append(max([*ways, best[end - 1] + m.unknown] if text[end - 1] not in m.score else ways))
+    return best[-1]
+
+
+def test_pieces_are_the_best(docs):
     m = pieces.piece_model(tokenizer("piece_bpe_32k.model"))
-    # the model has pieces of 2 to 14 and of 16 spaces, all of one score, so the best path takes the fewest
-    assert m.encode("  " + "a") == m._whole("▁▁▁a") and len(m.encode(" " * 15)) == 1 and len(m.encode(" " * 31)) == 2
-    for text in ("    if x:\n        return  y   # z", "a  b ▁  c ▁▁ d  ", "  ", "a" * 40 + " " * 100 + "b  c"):
-        parts, first = [], True
-        for part in text.split("▁"):
-            parts.append(m._whole(("▁" if first else "") + part.replace(" ", "▁")))
-            first = False
-        literal = [m.byte_id[b] for b in "▁".encode()]
-        assert m.encode(text) == sum(([*literal, *p] for p in parts[1:]), parts[0])
+    names = {i: p for p, i in m.id.items()}
+    texts = [r.text[:3000] for r in docs.limit(40).collect()] + ["  a", " " * 15, " " * 31, "    if x:\n        return  y   # z", "  ", "a" * 40 + " " * 100 + "b  c", "thontinwh xyz\U0001f642é"]
+    for text, ids in zip(texts, m.encode_all(texts), strict=True):
+        marked = "▁" + text.replace(" ", "▁")
+        unknown = sum(c not in m.score for c in marked)
+        assert sum(m.score[names[i]] for i in ids.tolist() if i in names) + unknown * m.unknown == best_scores(m, marked)
+        assert ids.tolist() == list(m.stream(marked)) and m.decode(ids.tolist()) == text
+    # the model has pieces of 2 to 14 and of 16 spaces
+    assert len(m.encode(" " * 15)) == 1 and len(m.encode(" " * 31)) == 2
+    # one lane of no final boundary goes through the stream, whose window stays small
+    for text in ("abc" * 9000, " " * 30_000 + "abc" * 50, "a▁b ▁ c", "▁" * 9):
         assert m.decode(m.encode(text)) == text
-    key = "▁" * 100_000 + "abc" * 50
-    assert list(m.stream(key)) == m._whole(key)
+
+
+def test_decoding_any_ids(spark):
+    path = tokenizer("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, [258]), (2, [40000, -1, None]), (3, None), (4, [])], "doc_id long, ids array<int>")
+    assert {(r.doc_id, r.text) for r in pieces.decode_pieces(df, path).collect()} == {(1, "\ufffd"), (2, ""), (3, ""), (4, "")}
 
 
 def test_chat(spark):
@@ -239,6 +272,18 @@ def test_chat(spark):
     assert chat.digests(chat.reconstruct(chat.events_of(log.limit(0), "c", "s"))).count() == 0
 
 
+def test_chat_of_large_and_missing_ids(spark):
+    big = 1 << 53
+    rows = [(big, 0, "user", "a"), (big + 1, 0, "user", "b"), (None, 0, "assistant", "c"), (big, 1, "assistant", "x" * 100_001), (big, 1, "assistant", "y"), (big, 1, "assistant", "y"), (big + 1, None, None, None)]
+    log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit(1))
+    got = {r.conv_id: r for r in chat.digests(chat.reconstruct(chat.edits_of(log))).collect()}
+    expected = {big: ["user\na\n", "assistant\n" + "x" * 100_001 + "\n", "assistant\ny\n", "assistant\ny\n"], big + 1: ["user\nb\n", "\n\n"], None: ["assistant\nc\n"]}
+    assert {k: (r.n_turns, r.turns_sha256) for k, r in got.items()} == {k: (len(t), hashlib.sha256("".join(t).encode()).hexdigest()) for k, t in expected.items()}
+    assert got[big].loss_chars == 100_003
+    kinds = {r.kind for r in chat.edits_of(log).collect()}
+    assert kinds == {"message", "delta", "regenerate", "edit"}
+
+
 def test_token_counts(docs, odd, none):
     from tokenizers import Tokenizer
 
@@ -288,13 +333,78 @@ def test_quality(spark, odd, none):
     assert {r.score for r in quality.score_quality(odd, labels.limit(0)).collect()} == {0.5}
 
 
-def test_pipeline_keeps_clean_rows(spark):
+def test_rules_are_learned():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = {"a": rng.uniform(0, 1, 3000), "b": rng.uniform(0, 1, 3000), "noise": rng.uniform(0, 1, 3000)}
+    bad = ((x["a"] > 0.7) & (x["b"] <= 0.4)) | (x["a"] <= 0.1)
+    rules_ = rules.learn_rules(x, bad)
+    told = np.zeros(3000, bool)
+    for rule in rules_:
+        told |= rules._covers(rule, x)
+    assert (told == bad).mean() > 0.97 and 1 <= len(rules_) <= rules.MAX_RULES
+    assert rules.learn_rules(x, np.zeros(3000, bool)) == []
+
+
+def test_kept_follows_the_learned_list(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    stats = rules.materialize(rules.text_stats(docs))
+    learned = rules.learn_rules(*rules.labelled_sample(stats, labels))
+    assert learned
+    import numpy as np
+
+    for r in rules.apply_rules(docs, labels).collect():
+        x = {n: np.array([r[a] / max(r[b], 1) if b else float(r[a])]) for n, (a, b) in rules.FEATURES.items()}
+        assert r.kept == (not r.base_failed and not any(rules._covers(rule, x)[0] for rule in learned))
+    marked = rules.apply_rules(docs, labels).join(labels, "doc_id").where("not base_failed").collect()
+    assert sum(r.kept == (r.quality == 1) for r in marked) >= 0.95 * len(marked)
+
+
+def test_pipeline_against_plain_python(spark):
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    benchmark = [shingles(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clash = docs.withColumn("_id", F.lit(1)).withColumn("tag", F.lit("t")).withColumn("_key0", F.lit(2)).withColumn("_h", F.lit(3))
+    good = docs.where("length(text) > 600").limit(1).first()
+    more = [good.asDict() | {"doc_id": i, "text": t, "_id": 1, "tag": "t", "_key0": 2, "_h": 3} for i, t in ((good.doc_id, "too few words"), (None, good.text), (None, None), (900_001, ""))]
+    docs = clash.unionByName(spark.createDataFrame([tuple(r[c] for c in clash.columns) for r in more], clash.schema))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, SF)
-        assert out.columns == docs.columns, name
-        assert out.exceptAll(docs).count() == 0 and 0 < out.count() <= docs.count()
-        docs = out
+        assert out.columns == docs.columns and out.exceptAll(docs).count() == 0, name
+        rows, kept = docs.collect(), out.collect()
+        got = Counter((r.doc_id, r.text) for r in kept)
+        if name == "quality_rules":
+            verdict = {(r.doc_id, r.tag): r.kept for r in rules.apply_rules(docs, labels, tagged=True).collect()}
+            tag = {(r.doc_id, r.text): r.t for r in docs.select("doc_id", "text", F.xxhash64("text").alias("t")).collect()}
+            assert got == Counter((r.doc_id, r.text) for r in rows if verdict[r.doc_id, tag[r.doc_id, r.text]])
+            assert all(len(words(t)) >= 50 for _, t in got) and (None, good.text) in got and (good.doc_id, good.text) in got
+        elif name == "language_id":
+            told = langid.Classifier(langid.learn(docs, langid.training_rows(docs)))
+            assert got == Counter((r.doc_id, r.text) for r in rows if not told.predict(r.text)[2])
+        elif name == "near_duplicates":
+            sets = [shingles(r.text) for r in rows]
+            order = sorted((k for k in range(len(rows)) if rows[k].doc_id is not None and sets[k]), key=lambda k: rows[k].doc_id)
+            root = list(range(len(rows)))
+
+            def find(k):
+                while root[k] != k:
+                    k = root[k]
+                return k
+
+            for n, a in enumerate(order):
+                for b in order[n + 1 :]:
+                    same = len(sets[a] & sets[b])
+                    if 100 * same >= 80 * (len(sets[a]) + len(sets[b]) - same):
+                        root[max(find(a), find(b), key=order.index)] = min(find(a), find(b), key=order.index)
+            assert got == Counter((r.doc_id, r.text) for k, r in enumerate(rows) if find(k) == k)
+        else:
+            sets = [shingles(r.text) for r in rows]
+            assert got == Counter((r.doc_id, r.text) for r, s in zip(rows, sets) if not any(q and 100 * len(q & s) >= 80 * len(q) for q in benchmark))
+        assert 0 < len(kept) < len(rows) or name == "language_id", name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        docs = corpus_pipeline.materialize(out)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
