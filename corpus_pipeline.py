@@ -1,8 +1,10 @@
 """The corpus pipeline: filters, near-duplicate removal, decontamination, then encoding.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-``documents``, whole rows as they came. Rows with a null id are kept by the filters and are never a
-duplicate or contaminated; rows repeated as a whole are copies of each other, of which one stays.
+``documents``, whole rows as they came, whatever their names. A filter decides on a text, so rows are
+dropped by id and text: rows that share an id keep their own verdicts, and rows with a null id are
+filtered like others. Rows without an id or words are never near duplicates; of rows repeated as a whole
+one stays. Empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -11,18 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import contamination, jaccard, langid, pieces, rules
-from pagequarry.llm.common import materialize, small, table
+from pagequarry.llm.common import matched, materialize, table
 from pagequarry.llm.queries import tokenizer
 
-#: Ids that may be broadcast to a filter at most; beyond, it shuffles.
-MAX_IDS = 500_000
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id and text hash are no row of ``dropped``."""
+    return matched(docs, [docs["doc_id"], F.xxhash64(docs["text"])], materialize(dropped.distinct()), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the learned decision list."""
-    found = rules.apply_rules(docs, table(spark, sf_dir, "labels"))
-    dropped = materialize(found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(small(dropped, MAX_IDS), docs["doc_id"] == F.col("_id"), "left_anti")
+    found = rules.apply_rules(docs, table(spark, sf_dir, "labels"), tagged=True)
+    return _without(docs, found.where(~F.col("kept")).select("doc_id", "tag"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,22 +35,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group that near copies link."""
-    found = materialize(jaccard.link_groups(docs))
-    dropped = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct())
-    kept = docs.join(small(dropped, MAX_IDS), docs["doc_id"] == F.col("_id"), "left_anti")
-    again = materialize(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_id")))
-    if again.isEmpty():
-        return kept
-    # an id that repeats: its group keeps one row
-    rest = kept.join(small(again, MAX_IDS), kept["doc_id"] == F.col("_id"), "left_anti")
-    return rest.unionByName(kept.join(small(again, MAX_IDS), kept["doc_id"] == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    return jaccard.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contamination.find_contained(docs, table(spark, sf_dir, "benchmark"))
-    dropped = materialize(found.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(small(dropped, MAX_IDS), docs["doc_id"] == F.col("_id"), "left_anti")
+    keyed = docs.select(F.struct(docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("tag")).alias("doc_id"), docs["text"].alias("text"))
+    found = contamination.find_contained(keyed, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.select("doc_id.id", "doc_id.tag"))
 
 
 def piece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +57,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("piece_encoding", piece_encoding),
 ]
-#: Learned rules, compression and the piece model have no SQL; tests compare the stages with brute force.
+#: Learned rules, compression and the piece model have no SQL: a test does each stage's work again in plain Python.
 ORACLE_SQL = None
 
 
