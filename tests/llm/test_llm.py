@@ -171,7 +171,7 @@ def test_lm_continuations_sum_to_one():
         assert abs(np.exp(start[0]) + np.exp(goes[0]) - 1) < 1e-5
         assert abs(every[sub.starts].sum() - 1) < 1e-3 and abs(every[~sub.starts].sum() - 1) < 1e-3
     # known words take the counts of their first id, others the rest
-    _, _, share, each = scorer.score([ids])
+    _, _, share, each = scorer.score(ids, np.array([len(ids)]))
     first = ids[sub.starts[ids]]
     assert np.allclose(scorer.first[first] * each + share, 1)
 
@@ -181,12 +181,13 @@ def test_lm_batches_do_not_matter():
 
     sub, scorer = small_scorer()
     texts = [sub.ids(words(t)) for t in ("", "a b", "some longer text of words " * 60, "x" * 900)]
-    together = scorer.score(texts)
-    alone = [np.concatenate(x) for x in zip(*[scorer.score([t]) for t in texts])]
+    score = lambda texts: scorer.score(np.concatenate(texts), np.array(list(map(len, texts))))
+    together = score(texts)
+    alone = [np.concatenate(x) for x in zip(*[score([t]) for t in texts])]
     assert all(np.allclose(a, b, rtol=1e-3, atol=1e-3) for a, b in zip(together, alone))
     # a later word doesn't change what was before it
-    longer = scorer.score([np.concatenate([texts[2][:-1], sub.ids(words("more"))])])
-    assert np.allclose(longer[0][:200], scorer.score([texts[2]])[0][:200], rtol=1e-3, atol=1e-3)
+    longer = score([np.concatenate([texts[2][:-1], sub.ids(words("more"))])])
+    assert np.allclose(longer[0][:200], score([texts[2]])[0][:200], rtol=1e-3, atol=1e-3)
 
 
 def test_lm_beats_the_base(spark):
