@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import geometry as G
 from pagequarry.functions import text as T
-from pagequarry.operators import assemble, matching, selection
+from pagequarry.functions import labels as L
+from pagequarry.operators import assemble, matching, metrics, selection, tables
 from pagequarry.plans import fixtures
 from pagequarry.streaming.words import windowed_counts
 
@@ -266,3 +267,184 @@ select doc_id, page_idx, string_agg(case when regexp_matches(ltrim(t), '^([-+>#=
 def markdown_lines(spark, sf_dir):
     lines = assemble.lines_of(fixtures.words(spark, sf_dir)).withColumn("t", T.markdown_line(F.col("text")))
     return lines.groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "sub", "t"))), lambda v: v["t"]), "\n").alias("markdown"))
+
+
+def _corner_sums(poly):
+    """Sums over the corners of a polygon, so that all of them are compared."""
+    return [_r(F.sum(F.aggregate(poly, F.lit(0.0), lambda a, p: a + p[n]))).alias(f"s_{n}") for n in "xy"]
+
+
+_TURN = "800 * (x - 5e-1) as dx, 1000 * (5e-1 - y) as dy"
+_CORNERS = "corners as (select doc_id, page_idx, unnest([{'x': x0, 'y': y0}, {'x': x1, 'y': y0}, {'x': x1, 'y': y1}, {'x': x0, 'y': y1}]) c from w), xy as (select doc_id, page_idx, c.x as x, c.y as y from corners)"
+
+
+@query(f", {_CORNERS}, t as (select doc_id, page_idx, {_TURN}, 800 * sin(radians(20)) + 1000 * cos(radians(20)) h, 800 * cos(radians(20)) + 1000 * sin(radians(20)) wd from xy) select doc_id, page_idx, round(sum(least(wd, greatest(0e0, dx * cos(radians(20)) - dy * sin(radians(20)) + wd / 2))), 6) as s_x, round(sum(least(h, greatest(0e0, h / 2 - (dx * sin(radians(20)) + dy * cos(radians(20)))))), 6) as s_y from t group by all")
+def rotate_abs_geoms(spark, sf_dir):
+    h, w = F.lit(float(fixtures.HEIGHT)), F.lit(float(fixtures.WIDTH))
+    poly = G.rotate_absolute(G.corners(F.col("x0") * w, F.col("y0") * h, F.col("x1") * w, F.col("y1") * h), F.lit(20.0), h, w)
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE).agg(*_corner_sums(poly))
+
+
+@query(f", {_CORNERS} select doc_id, page_idx, round(sum((((x - 5e-1) * 800 * cos(radians(20)) + (y - 5e-1) * 1000 * sin(radians(20))) + 6e2) / 1200), 6) as s_x, round(sum((((y - 5e-1) * 1000 * cos(radians(20)) - (x - 5e-1) * 800 * sin(radians(20))) + 55e1) / 1100), 6) as s_y from xy group by all")
+def remap_boxes(spark, sf_dir):
+    h, w = F.lit(float(fixtures.HEIGHT)), F.lit(float(fixtures.WIDTH))
+    turned = G.rotate_relative(G.corners(*map(F.col, BOX)), F.lit(20.0), h, w)
+    still = G.rotate_relative(turned, F.lit(0.5), h, w)  # too small a turn changes nothing
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE).agg(*_corner_sums(G.remap(still, h, w, F.lit(1100.0), F.lit(1200.0))))
+
+
+@query("select doc_id, page_idx, round(sum(least(1e0, greatest(0e0, (x0 - 5e-1) * 1.25e0 + 5e-1))), 6) as s_x, round(sum(y0), 6) as s_y, round(sum(x0), 6) as t_x, round(sum(least(1e0, y0 * 1.25e0)), 6) as t_y from w group by all")
+def remove_padding(spark, sf_dir):
+    x, y = F.col("x0"), F.col("y0")
+    high, wide = G.without_padding(x, y, F.lit(1000.0), F.lit(800.0)), G.without_padding(x, y, F.lit(800.0), F.lit(1000.0), symmetric=False)
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE).agg(_r(F.sum(high["x"])).alias("s_x"), _r(F.sum(high["y"])).alias("s_y"), _r(F.sum(wide["x"])).alias("t_x"), _r(F.sum(wide["y"])).alias("t_y"))
+
+
+@query("select doc_id, page_idx, round(sum(m - x1), 6) as rtl, round(sum(y0), 6) as down, round(sum(m - x0), 6) as down_rtl from (select *, min(x0) over (partition by doc_id, page_idx) + max(x1) over (partition by doc_id, page_idx) m from w) group by all")
+def canonical_boxes(spark, sf_dir):
+    page = Window.partitionBy(*PAGE)
+    w = fixtures.words(spark, sf_dir).withColumn("lo", F.min("x0").over(page)).withColumn("hi", F.max("x1").over(page))
+    as_if = lambda d: G.canonical(*map(F.col, BOX), F.col("lo"), F.col("hi"), d)
+    return w.groupBy(*PAGE).agg(_r(F.sum(as_if("rtl")["x0"])).alias("rtl"), _r(F.sum(as_if("ttb-ltr")["x0"])).alias("down"), _r(F.sum(as_if("ttb-rtl")["y1"])).alias("down_rtl"))
+
+
+@query("select doc_id, page_idx, count(*) as n, round(sum(x0 + x1) / 2, 6) as s_cx, round(sum(y0 + y1) / 2, 6) as s_cy, count(*) as n_inside, 0 as n_outside from w group by all")
+def word_centers(spark, sf_dir):
+    """Centres lie in their word's polygon, whatever corner comes first, and not in that moved to the right."""
+    w = fixtures.words(spark, sf_dir).withColumn("c", G.center(*map(F.col, BOX))).withColumn("poly", G.roll(G.corners(*map(F.col, BOX)), F.col("p") % 4))
+    inside, outside = G.in_polygon(F.col("c.x"), F.col("c.y"), F.col("poly")), G.in_polygon(F.col("c.x") + 1, F.col("c.y"), F.col("poly"))
+    return w.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), _r(F.sum("c.x")).alias("s_cx"), _r(F.sum("c.y")).alias("s_cy"), F.sum(inside.cast("long")).alias("n_inside"), F.sum(outside.cast("int")).cast("int").alias("n_outside"))
+
+
+@query("select doc_id, page_idx, round(sum(8 * x0 - 2 * y0 + 1), 6) as s_x, round(sum(3 * x0 + 5 * y0 - 4), 6) as s_y, round(sum(x1 + x0) * 2, 6) as box_x, round(sum(y1 + y0) * 2, 6) as box_y, 0e0 as angle from w group by all")
+def decode_boxes(spark, sf_dir):
+    """Points under an affine map, and boxes from centre, sides and angle, whose top edges are level."""
+    w = fixtures.words(spark, sf_dir)
+    a = G.affine(F.col("x0"), F.col("y0"), [8, -2, 1, 3, 5, -4])
+    poly = G.turned_box((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(0.0), F.lit(1.0))
+    total = lambda n: _r(F.sum(F.aggregate(poly, F.lit(0.0), lambda s, p: s + p[n])))
+    flat = F.abs(F.round(F.median(G.folded(G.top_edge_angle(poly, F.lit(1000.0), F.lit(800.0)))), 6))
+    return w.groupBy(*PAGE).agg(_r(F.sum(a["x"])).alias("s_x"), _r(F.sum(a["y"])).alias("s_y"), total("x").alias("box_x"), total("y").alias("box_y"), flat.alias("angle"))
+
+
+@query("""select l_orderkey, l_linenumber, first, first + n - 1 as last from (select *, case when a = b then a when c = d then greatest(n + 1, c) - n when abs(l_quantity / 7 - l_quantity / 6.5e0) <= abs(l_tax * 30 - l_tax * 35) then greatest(1, cast(round_even((l_quantity / 7 + l_quantity / 6.5e0) / 2, 0) as int)) else greatest(n + 1, cast(round_even(l_tax * 325e-1, 0) as int)) - n end as first
+from (select *, greatest(1, cast(round_even(l_quantity / 7, 0) as int)) a, greatest(1, cast(round_even(l_quantity / 6.5e0, 0) as int)) b, greatest(1, cast(round_even(l_tax * 30, 0) as int)) c, greatest(1, cast(round_even(l_tax * 35, 0) as int)) d, greatest(1, l_linenumber - 2) n from lineitem))""", views=False)
+def logic_coords(spark, sf_dir):
+    li = _table(spark, sf_dir, "lineitem")
+    span = G.grid_span(F.col("l_quantity") / 7, F.col("l_quantity") / 6.5, F.col("l_tax") * 30, F.col("l_tax") * 35, F.col("l_linenumber") - 2)
+    return li.select("l_orderkey", "l_linenumber", span["first"].alias("first"), span["last"].alias("last"))
+
+
+@query("""select p, n, cast(list_sum(s) as bigint) as s_starts, tile, round(case when n > 1 then (s[n - 1] + 6 * 8 - s[n]) / 48e0 else 0e0 end, 6) as last_overlap from (select *, len(s) n, case when width > 64 and len(s) > 1 then 48 else width end as tile from
+(select p, width, case when width <= 64 then [0] when (width - 48) % 24 = 0 then range(0, width - 47, 24) else list_append(range(0, width - 47, 24), width - 48) end s from (select p, cast(10 + p % 400 as int) width from w)))""")
+def split_crops(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir).select("p", (10 + F.col("p") % 400).cast("int").alias("width")).withColumn("t", T.tiles(F.lit(8), F.col("width")))
+    return w.select("p", F.size("t.starts").cast("long").alias("n"), F.aggregate("t.starts", F.lit(0).cast("long"), lambda a, x: a + x).alias("s_starts"), "t.tile", _r(F.col("t.last_overlap")).alias("last_overlap"))
+
+
+@query(f"""select doc_id, sum(list_sum(list_transform(range(1, 13), lambda i: i * enc[i]))) as s_plain, sum(list_sum(list_transform(range(1, 13), lambda i: i * padded[i]))) as s_padded, bool_and(len(enc) = 12 and len(padded) = 12) as sized from (select doc_id,
+ list_resize(ids[1:12], 12, 94) enc, list_resize(([95] || ids || [94])[1:12], 12, 96) padded from (select doc_id, list_transform(string_split(value, ''), lambda c: instr('{LATIN.replace("'", "''")}', c) - 1) ids from w)) group by 1""")
+def encode_sequences(spark, sf_dir):
+    e, p = T.encode_padded(F.col("value"), LATIN, 12, 94), T.encode_padded(F.col("value"), LATIN, 12, 94, 95, 96)
+    total = lambda x: F.sum(F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0).cast("long"), lambda a, v: a + v))
+    return fixtures.words(spark, sf_dir).groupBy("doc_id").agg(total(e).alias("s_plain"), total(p).alias("s_padded"), F.bool_and((F.size(e) == 12) & (F.size(p) == 12)).alias("sized"))
+
+
+@query(f"""select doc_id, string_agg(value, ' ' order by p) as text from w where regexp_full_match(value, '[ -~]+') group by 1""")
+def decode_sequences(spark, sf_dir):
+    """Words of plain characters, encoded and decoded again."""
+    w = fixtures.words(spark, sf_dir).withColumn("ids", T.encode(F.col("value"), LATIN)).where(F.array_min("ids") >= 0).withColumn("back", T.decode(F.col("ids"), LATIN))
+    return w.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "back"))), lambda v: v["back"]), " ").alias("text"))
+
+
+@query(f"with {_LOGITS}, f as (select vec_id, m, path, peak, coalesce(nullif(list_position(path, 7), 0) - 1, 8) n from t join e using (vec_id)) select vec_id, array_to_string(list_transform(path[1 : n], lambda c: substr('abcdefg', c + 1, 1)), '') as value, round(case when n > 0 then list_avg(peak[1 : n]) else 0e0 end, 6) as confidence, array_to_string(list_transform(list_transform(m, lambda r: list_position(r[1 : 4], list_max(r[1 : 4])) - 1), lambda c: substr('abcdefg', c + 1, 1)), '') as allowed from f", views=False)
+def whitelist_decode(spark, sf_dir):
+    """Readings with the mean confidence of their letters, and those of which only four classes are allowed."""
+    e = _logits(spark, sf_dir)
+    raw = _table(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda s: F.transform(F.slice("embedding", s * 8 + 1, F.lit(8)), lambda x: x.cast("double"))).alias("m"))
+    at = F.array_position("path", 7)
+    n = F.when(at > 0, at - 1).otherwise(F.size("path")).cast("int")
+    some = raw.select("vec_id", T.until_end(F.transform("m", lambda r: T.argmax(T.allow_only(r, [0, 1, 2, 3]))), "abcdefg", 7).alias("allowed"))
+    return e.join(some, "vec_id").select("vec_id", T.until_end(F.col("path"), "abcdefg", 7).alias("value"), _r(T.mean_until(F.col("peak"), n)).alias("confidence"), "allowed")
+
+
+@query("select type as label, lower(replace(type, '-', '_')) as norm, case lower(type) when 'page-header' then 'header' when 'page-footer' then 'footer' else 'body' end as role, lower(replace(type, '-', '')) as kind, '<[' || upper(type) || ']>' as placeholder, count(*) as n from r group by 1")
+def layout_roles(spark, sf_dir):
+    r = fixtures.regions(fixtures.words(spark, sf_dir)).select(F.col("type").alias("label"))
+    t = F.col("label")
+    return r.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", L.normalize(t).alias("norm"), L.role(t).alias("role"), L.kind(t).alias("kind"), L.placeholder(t).alias("placeholder"), "n")
+
+
+def _boxed(w, label=False):
+    p = fixtures.predictions(w).withColumn("_id", F.col("p") * 2 + F.col("fp"))
+    if label:
+        return w.withColumn("_id", F.col("p") * 2).withColumn("label", (F.col("p") + F.col("doc_id")) % 3), p.withColumn("label", (F.col("p") + F.col("doc_id") + F.when(F.col("p") % 19 == 0, 1).otherwise(0)) % 3)
+    return w.withColumn("_id", F.col("p") * 2), p
+
+
+_N = "n as (select doc_id, count(*) n_gt, (select count(*) from p where p.doc_id = w.doc_id) n_pred from w group by doc_id), b as (select doc_id, sum(i) s from (select doc_id, page_idx, fp, pp, max(iou) i from ious group by all) group by 1)"
+
+
+@query(f", {_IOU}, {_N}, m as (select doc_id, sum(case when iou >= 5e-1 then 1 else 0 end) m from ious group by 1) select doc_id, n_gt, n_pred, round(m / n_gt, 6) as recall_boxes, round(m / n_pred, 6) as precision_boxes, round_even(s / n_pred, 2) as mean_iou from n join m using (doc_id) join b using (doc_id)")
+def localization_matched(spark, sf_dir):
+    return metrics.localization(*_boxed(fixtures.words(spark, sf_dir)))
+
+
+_FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ASCII = "translate({0}, '" + "".join(a for a, b in T.ASCII_OF.items() if len(b) == 1) + "', '" + "".join(b for b in T.ASCII_OF.values() if len(b) == 1).replace("'", "''") + "')"
+for _a, _b in T.ASCII_OF.items():
+    if len(_b) > 1:
+        _ASCII = f"replace({_ASCII}, '{_a}', '{_b}')"
+
+
+@query(f""", {_IOU}, {_N}, j as (select i.doc_id, w.value x, p.value y from ious i join w on w.doc_id = i.doc_id and w.p = i.p join p on p.doc_id = i.doc_id and p.p = i.pp and p.fp = i.fp where iou >= 5e-1),
+m as (select doc_id, sum(cast(x = y as int)) raw, sum(cast({_FOLD.format("lower(x)")} = {_FOLD.format("lower(y)")} as int)) caseless, sum(cast({_ASCII.format("x")} = {_ASCII.format("y")} as int)) anyascii, sum(cast(lower({_ASCII.format("x")}) = lower({_ASCII.format("y")}) as int)) unicase from j group by 1)
+select doc_id, n_gt, n_pred, {", ".join(f"round({c} / n_gt, 6) as recall_{c}, round({c} / n_pred, 6) as precision_{c}" for c in ("raw", "caseless", "anyascii", "unicase"))}, round_even(s / n_pred, 2) as mean_iou from n join m using (doc_id) join b using (doc_id)""")
+def ocr_metric(spark, sf_dir):
+    return metrics.recognition(*_boxed(fixtures.words(spark, sf_dir)))
+
+
+@query(f", {_IOU}, {_N}, m as (select doc_id, sum(case when iou >= 5e-1 and pp % 19 <> 0 then 1 else 0 end) m from ious group by 1) select doc_id, n_gt, n_pred, round(m / n_gt, 6) as recall_classes, round(m / n_pred, 6) as precision_classes, round_even(s / n_pred, 2) as mean_iou from n join m using (doc_id) join b using (doc_id)")
+def detection_metric(spark, sf_dir):
+    return metrics.detection(*_boxed(fixtures.words(spark, sf_dir), label=True))
+
+
+@query(f""", {_IOU}, g as (select doc_id, page_idx, p * 2 id, (p + doc_id) % 3 label from w), d as (select doc_id, page_idx, p * 2 + fp id, (p + doc_id + case when p % 19 = 0 then 1 else 0 end) % 3 label, score from p),
+best as (select i.doc_id, i.page_idx, i.pp * 2 + i.fp id, i.iou, i.p * 2 gt from ious i where i.pp % 19 <> 0), x as (select d.*, best.iou, best.gt, threshold from d left join best using (doc_id, page_idx, id) cross join (select unnest({list(metrics.THRESHOLDS)})::double threshold)),
+t as (select *, cast(iou >= threshold and row_number() over (partition by threshold, doc_id, page_idx, label, gt, iou >= threshold order by score desc, id) = 1 as int) tp from x),
+c as (select threshold, label, sum(coalesce(tp, 0)) over o tps, count(*) over o n, (select count(*) from g where g.label = t.label) total from t window o as (partition by threshold, label order by score desc, doc_id, page_idx, id rows unbounded preceding)),
+pr as (select threshold, label, tps / total r, max(tps / n) p from c group by all), l as (select threshold, label, k, coalesce((select max(p) from pr where pr.threshold = s.threshold and pr.label = s.label and r >= k * 1e-2), 0) p from (select distinct threshold, label from pr) s cross join (select unnest(range(0, 101)) k))
+select threshold, label, round(avg(p), 6) as ap from l group by all""")
+def coco_map(spark, sf_dir):
+    g, p = _boxed(fixtures.words(spark, sf_dir), label=True)
+    return metrics.average_precision(g, p)
+
+
+@query("select doc_id, 1e0 as recall, 1e0 as precision, 1e0 as f1, round(sum(case when cell_idx % 7 = 0 then 0e0 else 1e0 end) / count(*), 6) as structure from cells group by 1")
+def table_cell_metric(spark, sf_dir):
+    """Cells moved a little, of which every seventh is put one row further down."""
+    c = fixtures.cells(fixtures.words(spark, sf_dir)).withColumn("_id", F.col("cell_idx"))
+    moved = c.withColumns({"x0": F.col("x0") + 0.002, "x1": F.col("x1") + 0.002, "row_start": F.col("row_start") + F.when(F.col("cell_idx") % 7 == 0, 1).otherwise(0)})
+    return metrics.table_cells(c, moved, F.array("row_start", "row_end", "col_start", "col_end"))
+
+
+_GRID = """v as (select c.doc_id, c.page_idx, cell_idx, row_start - 1 r, col_start - 1 k, coalesce(string_agg(value, ' ' order by p), '') t, coalesce(avg(confidence), any_value(score)) conf from cells c left join w on w.doc_id = c.doc_id and w.page_idx = c.page_idx and (w.x0 + w.x1) / 2 between c.x0 and c.x1 and (w.y0 + w.y1) / 2 between c.y0 and c.y1 group by all)"""
+
+
+def _rendered(cell: str, joined: str, first: str = "", rule: str = "", last: str = "", lead: str = "", tail: str = "") -> str:
+    rows = f"(select doc_id, page_idx, r, '{lead}' || string_agg({cell}, '{joined}' order by k) || '{tail}' line from v group by all)"
+    return f"(select doc_id, page_idx, '{first}' || string_agg(line || case when r = 0 then '{rule}' else '' end, chr(10) order by r) || '{last}' as x from {rows} group by all)"
+
+
+_MD = r"regexp_replace(t, '([\\`*_\[\]|#<>])', '\\\1', 'g')"
+_AD = r"regexp_replace(t, '([\\`*_#^~|+{}<>])', '\\\1', 'g')"
+
+
+@query(f""", {_GRID} select a.doc_id, a.page_idx, 0 as table_idx, 6 as num_rows, 5 as num_cols, a.x as plain, b.x as markdown, c.x as asciidoc, d.x as html, e.conf as confidence
+from {_rendered("t", chr(9))} a join {_rendered(_MD, " | ", rule=chr(10) + "| --- | --- | --- | --- | --- |", lead="| ", tail=" |")} b using (doc_id, page_idx) join {_rendered("'|' || " + _AD, " ", first="|===" + chr(10), rule=chr(10), last=chr(10) + "|===")} c using (doc_id, page_idx)
+join {_rendered("case when r = 0 then '<th>' else '<td>' end || " + _ESCAPED.format("t") + " || case when r = 0 then '</th>' else '</td>' end", "", first="<table>" + chr(10), last=chr(10) + "</table>", lead="<tr>", tail="</tr>")} d using (doc_id, page_idx) join (select doc_id, page_idx, round(sum(conf), 6) conf from v group by all) e using (doc_id, page_idx)""")
+def table_grid(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir)
+    t = tables.localized(tables.filled(w, fixtures.cells(w))).withColumn("g", tables.grid(F.col("cells"), F.col("num_rows"), F.col("num_cols")))
+    total = F.aggregate(F.transform("cells", lambda c: c["confidence"]), F.lit(0.0), lambda a, x: a + x)
+    return t.select(*tables.TABLE, "num_rows", "num_cols", tables.plain(F.col("g")).alias("plain"), tables.markdown(F.col("g")).alias("markdown"), tables.asciidoc(F.col("g")).alias("asciidoc"), tables.html(F.col("g")).alias("html"), _r(total).alias("confidence"))
