@@ -148,11 +148,11 @@ def roll(poly: Column, steps: Column) -> Column:
 
 
 def turned_box(cx: Column, cy: Column, w: Column, h: Column, sin: Column, cos: Column) -> Column:
-    """Ordered corners of a box given by centre, sides and the direction of its angle."""
+    """Corners of a box given by centre, sides and the direction of its angle; ``order_points`` puts them in order."""
     a = F.atan2(sin, cos)
     c, s = F.cos(a), F.sin(a)
     at = lambda u, v: point(cx + u * w / 2 * c - v * h / 2 * s, cy + u * w / 2 * s + v * h / 2 * c)
-    return order_points(F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1)))
+    return F.array(at(-1, -1), at(1, -1), at(1, 1), at(-1, 1))
 
 
 def top_edge_angle(poly: Column, height: Column, width: Column) -> Column:

@@ -321,7 +321,8 @@ def decode_boxes(spark, sf_dir):
     """Points under an affine map, and boxes from centre, sides and angle, whose top edges are level."""
     w = fixtures.words(spark, sf_dir)
     a = G.affine(F.col("x0"), F.col("y0"), [8, -2, 1, 3, 5, -4])
-    poly = G.turned_box((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(0.0), F.lit(1.0))
+    w = w.withColumn("raw", G.turned_box((F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(0.0), F.lit(1.0))).withColumn("poly", G.order_points(F.col("raw")))
+    poly = F.col("poly")
     total = lambda n: _r(F.sum(F.aggregate(poly, F.lit(0.0), lambda s, p: s + p[n])))
     flat = F.abs(F.round(F.median(G.folded(G.top_edge_angle(poly, F.lit(1000.0), F.lit(800.0)))), 6))
     return w.groupBy(*PAGE).agg(_r(F.sum(a["x"])).alias("s_x"), _r(F.sum(a["y"])).alias("s_y"), total("x").alias("box_x"), total("y").alias("box_y"), flat.alias("angle"))
@@ -413,7 +414,8 @@ def detection_metric(spark, sf_dir):
 best as (select i.doc_id, i.page_idx, i.pp * 2 + i.fp id, i.iou, i.p * 2 gt from ious i where i.pp % 19 <> 0), x as (select d.*, best.iou, best.gt, threshold from d left join best using (doc_id, page_idx, id) cross join (select unnest({list(metrics.THRESHOLDS)})::double threshold)),
 t as (select *, cast(iou >= threshold and row_number() over (partition by threshold, doc_id, page_idx, label, gt, iou >= threshold order by score desc, id) = 1 as int) tp from x),
 c as (select threshold, label, sum(coalesce(tp, 0)) over o tps, count(*) over o n, (select count(*) from g where g.label = t.label) total from t window o as (partition by threshold, label order by score desc, doc_id, page_idx, id rows unbounded preceding)),
-pr as (select threshold, label, tps / total r, max(tps / n) p from c group by all), l as (select threshold, label, k, coalesce((select max(p) from pr where pr.threshold = s.threshold and pr.label = s.label and r >= k * 1e-2), 0) p from (select distinct threshold, label from pr) s cross join (select unnest(range(0, 101)) k))
+pr as (select threshold, label, len(list_filter(range(0, 101), lambda k: k * 1e-2 <= tps / total)) - 1 k, max(tps / n) p from c group by all),
+l as (select s.threshold, s.label, k, coalesce(max(p) over (partition by s.threshold, s.label order by k desc rows unbounded preceding), 0) p from (select * from (select distinct threshold, label from pr) cross join (select unnest(range(0, 101)) k)) s left join pr using (threshold, label, k))
 select threshold, label, round(avg(p), 6) as ap from l group by all""")
 def coco_map(spark, sf_dir):
     g, p = _boxed(fixtures.words(spark, sf_dir), label=True)
