@@ -73,10 +73,14 @@ def join_overlapping(a: Column, b: Column, ratio: float) -> Column:
 MARKDOWN_SPECIAL = r"([\\`*_\[\]|#<>])"
 
 
+def markdown_start(line: Column) -> Column:
+    """A line whose start Markdown reads as plain text."""
+    return F.when(F.ltrim(line).rlike(r"^([-+>#=`]|[0-9]+\.*( |$))"), F.concat(F.lit("\\"), line)).otherwise(line)
+
+
 def markdown_line(line: Column) -> Column:
     """A line whose characters, and whose start, Markdown reads as plain text."""
-    safe = F.regexp_replace(line, MARKDOWN_SPECIAL, r"\\$1")
-    return F.when(F.ltrim(safe).rlike(r"^([-+>#=`]|[0-9]+\.*( |$))"), F.concat(F.lit("\\"), safe)).otherwise(safe)
+    return markdown_start(F.regexp_replace(line, MARKDOWN_SPECIAL, r"\\$1"))
 
 
 def decode(ids: Column, vocab: str) -> Column:

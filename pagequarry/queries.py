@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import geometry as G
 from pagequarry.functions import text as T
 from pagequarry.functions import labels as L
-from pagequarry.operators import assemble, matching, metrics, selection, tables
+from pagequarry.operators import assemble, export, matching, metrics, order, selection, tables
 from pagequarry.plans import fixtures
 from pagequarry.streaming.words import windowed_counts
 
@@ -450,3 +450,116 @@ def table_grid(spark, sf_dir):
     t = tables.localized(tables.filled(w, fixtures.cells(w))).withColumn("g", tables.grid(F.col("cells"), F.col("num_rows"), F.col("num_cols")))
     total = F.aggregate(F.transform("cells", lambda c: c["confidence"]), F.lit(0.0), lambda a, x: a + x)
     return t.select(*tables.TABLE, "num_rows", "num_cols", tables.plain(F.col("g")).alias("plain"), tables.markdown(F.col("g")).alias("markdown"), tables.asciidoc(F.col("g")).alias("asciidoc"), tables.html(F.col("g")).alias("html"), _r(total).alias("confidence"))
+
+
+# Full pages, and pages of one column: of others the order of lines has no closed form.
+_ORDER = f"""{_LINES}, whole as (select doc_id, page_idx from w group by all having count(*) = 800 or max(col) = 0),
+o as (select doc_id, page_idx, l, col, text, case when l = 0 then 'Page-header' when l = 1 then 'Title' when l between 2 and 37 then 'Text' when l = 39 then 'Page-footer' end as label,
+ cast(row_number() over (partition by doc_id, page_idx order by case l when 0 then 0 when 39 then 2 else 1 end, col, l) - 1 as int) as ord from lines join whole using (doc_id, page_idx)),
+g as (select *, cast(sum(case when label is not distinct from lag_label and col = lag_col then 0 else 1 end) over (partition by doc_id, page_idx order by ord) - 1 as int) as segment
+ from (select *, lag(label) over (partition by doc_id, page_idx order by ord) lag_label, lag(col) over (partition by doc_id, page_idx order by ord) lag_col from o))"""
+
+
+def _ordered_lines(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir)
+    whole = w.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.max("col").alias("c")).where("n = 800 or c = 0").select(*PAGE)
+    lines = matching.coverage_labels(assemble.lines_of(w.join(whole, PAGE, "left_semi")), fixtures.regions(w))
+    return order.ordered(lines, "ltr", F.col("label"))
+
+
+@query(f", {_ORDER} select doc_id, page_idx, ord, text from o")
+def reading_order(spark, sf_dir):
+    return _ordered_lines(spark, sf_dir).select(*PAGE, "ord", "text")
+
+
+@query(f", {_ORDER} select doc_id, page_idx, segment, any_value(label) as label, count(*) as n_lines, string_agg(text, ' ' order by ord) as text from g group by doc_id, page_idx, segment")
+def reading_segments(spark, sf_dir):
+    s = order.segments(_ordered_lines(spark, sf_dir), F.col("label"))
+    return s.groupBy(*PAGE, "segment").agg(F.first("label").alias("label"), F.count(F.lit(1)).alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda v: v["text"]), " ").alias("text"))
+
+
+def _items(spark, sf_dir):
+    s = order.segments(_ordered_lines(spark, sf_dir), F.col("label"))
+    return s.groupBy(*PAGE, "segment").agg(F.first("label").alias("label"), F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda v: v["text"]).alias("lines")).withColumnRenamed("segment", "ord")
+
+
+def _export_sql(line: str, first: str, last: str, head: str, tail: str, line_break: str, block_break: str, page_break: str, furniture: bool = True) -> str:
+    keep = "" if furniture else "where label is distinct from 'Page-header' and label is distinct from 'Page-footer'"
+    return f""", {_ORDER}, parts as (select doc_id, page_idx, segment, case when any_value(label) = 'Title' then '{head}' || string_agg({line.format('text').replace('START', '')}, ' ' order by ord) || '{tail}' else '{first}' || string_agg({line.format('text')}, '{line_break}' order by ord) || '{last}' end t from g {keep} group by doc_id, page_idx, segment),
+pages as (select doc_id, page_idx, string_agg(t, '{block_break}' order by segment) t from parts group by all) select doc_id, string_agg(t, '{page_break}' order by page_idx) as export from pages group by 1"""
+
+
+def _document(spark, sf_dir, name, **options):
+    fmt = export.format_of(name)
+    return export.document_exports(export.page_exports(_items(spark, sf_dir), fmt, **options), fmt)
+
+
+@query(_export_sql("{0}", "", "", "", "", chr(10), chr(10) * 2, chr(10) * 4, furniture=False))
+def export_text(spark, sf_dir):
+    return _document(spark, sf_dir, "text", furniture=False)
+
+
+_MDS = r"regexp_replace({0}, '([\\`*_\[\]|#<>])', '\\\1', 'g')"
+_ADS = r"regexp_replace({0}, '([\\`*_#^~|+{{}}<>])', '\\\1', 'g')"
+
+
+def _started(escaped: str, pattern: str, mark: str) -> str:
+    return f"case when regexp_matches(ltrim({escaped}), '{pattern}') then concat('{mark}', {escaped}) else {escaped} end"
+
+
+def _lined_sql(escaped: str, pattern: str, mark: str, head: str, page_break: str) -> str:
+    """As ``_export_sql``, with starts of lines that are not headings."""
+    made = f"""case when label = 'Title' then {escaped.format("text")} else {_started(escaped.format("text"), pattern, mark)} end"""
+    return f""", {_ORDER}, parts as (select doc_id, page_idx, segment, case when any_value(label) = 'Title' then '{head}' || string_agg({made}, ' ' order by ord) else string_agg({made}, chr(10) order by ord) end t from g group by doc_id, page_idx, segment),
+pages as (select doc_id, page_idx, string_agg(t, chr(10) || chr(10) order by segment) t from parts group by all) select doc_id, string_agg(t, '{page_break}' order by page_idx) as export from pages group by 1"""
+
+
+@query(_lined_sql(_MDS, r"^([-+>#=`]|[0-9]+\.*( |$))", chr(92), "# ", chr(10) * 2 + "---" + chr(10) * 2))
+def export_markdown(spark, sf_dir):
+    return _document(spark, sf_dir, "markdown")
+
+
+@query(_lined_sql(_ADS, r"^[=*.\-/+]", "{empty}", "== ", chr(10) * 2 + "<<<" + chr(10) * 2))
+def export_asciidoc(spark, sf_dir):
+    return _document(spark, sf_dir, "adoc")
+
+
+@query(_export_sql("replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')", "<p>", "</p>", "<h1>", "</h1>", "<br>" + chr(10), chr(10), chr(10) + "<hr>" + chr(10)))
+def export_html_document(spark, sf_dir):
+    return _document(spark, sf_dir, "html")
+
+
+@query("select doc_id, page_idx, string_agg('**' || class || '**' || chr(10) || chr(10) || v, chr(10) || chr(10) order by class) as export from (select doc_id, page_idx, case when ascii(value) between 97 and 109 then 'a-m' when ascii(value) between 110 and 122 then 'n-z' else 'other' end as class, string_agg('- ' || " + _started(_MDS.format("value"), r"^([-+>#=`]|[0-9]+\.*( |$))", chr(92)) + ", chr(10) order by p) v from w group by all) group by all")
+def export_kie(spark, sf_dir):
+    first = F.ascii("value")
+    kind = F.when(first.between(97, 109), "a-m").when(first.between(110, 122), "n-z").otherwise("other")
+    return export.class_exports(fixtures.words(spark, sf_dir).select(*PAGE, kind.alias("class"), F.col("p").alias("ord"), "value"), export.format_of("markdown"))
+
+
+@query("select doc_id, page_idx, count(*) as n_words, count(distinct l * 2 + col) as n_lines, string_agg(value, ' ' order by col, l, c) as text, round(sum(x0 + y1), 6) as s, round(avg(confidence), 6) as confidence from w group by all")
+def export_json(spark, sf_dir):
+    """Pages written as JSON and read back: columns are blocks, their lines' words as they were."""
+    w = fixtures.words(spark, sf_dir).select(*PAGE, F.col("col").alias("segment"), F.lit("Text").alias("label"), F.col("l").alias("ord"), F.col("c").alias("place"), "value", "confidence", *BOX)
+    back = export.from_json(export.page_json(w, fixtures.HEIGHT, fixtures.WIDTH))
+    return back.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n_words"), F.countDistinct("segment", "ord").alias("n_lines"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("segment", "ord", "place", "value"))), lambda v: v["value"]), " ").alias("text"), _r(F.sum(F.col("x0") + F.col("y1"))).alias("s"), _r(F.avg("confidence")).alias("confidence"))
+
+
+@query("select doc_id, page_idx, string_agg(format('bbox {} {} {} {}; x_wconf {}', cast(round_even(x0 * 800, 0) as int), cast(round_even(y0 * 1000, 0) as int), cast(round_even(x1 * 800, 0) as int), cast(round_even(y1 * 1000, 0) as int), cast(round_even(confidence * 100, 0) as int)), ' ' order by p) as titles from w group by all")
+def hocr_titles(spark, sf_dir):
+    title = F.concat(G.pixel_box([F.col(c) for c in BOX], F.lit(fixtures.HEIGHT), F.lit(fixtures.WIDTH)), F.lit("; x_wconf "), F.rint(F.col("confidence") * 100).cast("int").cast("string"))
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", title.alias("t")))), lambda v: v["t"]), " ").alias("titles"))
+
+
+@query(f""", b as (select doc_id, page_idx, l, col, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1 from w group by all),
+d as (select *, case when lag(x0) over o is not null and sqrt(power((x0 + y1 - lag(x0 + y1) over o) / 2, 2) + power((y0 + x1 - lag(y0 + x1) over o) / 2, 2) + power((x0 + x1 - lag(x0 + x1) over o) / 2, 2) + power((y0 + y1 - lag(y0 + y1) over o) / 2, 2) + power(x0 - lag(x0) over o, 2) + power(y0 - lag(y0) over o, 2)) <= 1e-1 then 0 else 1 end new from b window o as (partition by doc_id, page_idx, col order by l)),
+k as (select *, sum(new) over (partition by doc_id, page_idx, col order by l) run from d) select doc_id, page_idx, count(*) as n_lines, round(min(x0), 6) as x0, round(min(y0), 6) as y0, round(max(x1), 6) as x1, round(max(y1), 6) as y1 from k group by doc_id, page_idx, col, run""")
+def blocks_cluster(spark, sf_dir):
+    b = order.blocks(assemble.lines_of(fixtures.words(spark, sf_dir)))
+    return b.groupBy(*PAGE, "block").agg(F.count(F.lit(1)).alias("n_lines"), *[_r(f(c)).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]).drop("block")
+
+
+@query(""", q as (select doc_id, page_idx, x0 - lag(x1) over (partition by doc_id, page_idx, l order by x0) g, y1 - y0 h from w), a as (select doc_id, page_idx, median(h) h, count(g) n, count(case when g > 0 then 1 end) k, median(case when g > 0 then g end) m from q group by all)
+select doc_id, page_idx, round(case when k >= 5 and k >= 5e-1 * n then least(35e-3, greatest(3 * m, h * 1000 / 800)) when n >= 5 then least(35e-3, h * 1000 / 800) else 35e-3 end, 6) as break_dist from a""")
+def break_distance(spark, sf_dir):
+    found = order.break_distance(assemble.rows_of(fixtures.words(spark, sf_dir)), fixtures.HEIGHT, fixtures.WIDTH)
+    return found.withColumn("break_dist", _r(F.col("break_dist")))
