@@ -34,14 +34,17 @@ def encode(value: Column, vocab: str) -> Column:
     return F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c: F.instr(F.lit(vocab), c) - 1)
 
 
-#: Scripts written from right to left, and letters of the others.
-RTL, ANY_LETTER = r"[\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}]", r"\p{L}"
+#: Letters of scripts written from right to left, and of all scripts.
+RTL, ANY_LETTER = r"[\p{L}&&[\p{IsHebrew}\p{IsArabic}\p{IsSyriac}\p{IsThaana}\p{IsNko}]]", r"\p{L}"
+#: Codes of languages written from right to left.
+RTL_LANGUAGES = ("ar", "arc", "ckb", "dv", "fa", "he", "iw", "ks", "ku", "nqo", "ps", "sd", "syr", "ug", "ur", "yi")
 
 
-def direction(text: Column) -> Column:
-    """rtl if letters of right-to-left scripts outnumber the others, else ltr."""
-    rtl = F.regexp_count(text, F.lit(RTL))
-    return F.when(rtl > F.regexp_count(text, F.lit(ANY_LETTER)) - rtl, "rtl").otherwise("ltr")
+def direction(text: Column, language: Column | None = None) -> Column:
+    """rtl if letters of right-to-left scripts outnumber the others, else ltr; without letters the language decides."""
+    rtl, every = F.regexp_count(text, F.lit(RTL)), F.regexp_count(text, F.lit(ANY_LETTER))
+    hint = F.coalesce(F.lower(language).isin(list(RTL_LANGUAGES)), F.lit(False)) if language is not None else F.lit(False)
+    return F.when(2 * rtl > every, "rtl").when((every == 0) & hint, "rtl").otherwise("ltr")
 
 
 def join_overlapping(a: Column, b: Column, ratio: float) -> Column:

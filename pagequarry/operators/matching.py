@@ -34,19 +34,6 @@ def ratio(top: Column, under: Column) -> Column:
     return F.round(F.try_divide(top, under), 6)
 
 
-def localization(gts: DataFrame, preds: DataFrame, thresh: float = 0.5) -> DataFrame:
-    """recall, precision and mean IoU of each document, for pages where a box overlaps one other at most.
-
-    Documents with predictions alone count too. The mean is rounded to two digits, half to even.
-    """
-    pairs = overlaps(gts.withColumn("_id", F.col("p")), preds.withColumn("_id", F.struct("fp", "p")), "_id", "_id")
-    hits = pairs.groupBy("doc_id").agg(F.sum((F.col("iou") >= thresh).cast("long")).alias("m"))
-    best = pairs.groupBy(*PAGE, "b_id").agg(F.max("iou").alias("i")).groupBy("doc_id").agg(F.sum("i").alias("s"))
-    count = gts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gt")).join(preds.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pred")), "doc_id", "full")
-    all_ = count.join(hits, "doc_id", "left").join(best, "doc_id", "left").na.fill(0, ["n_gt", "n_pred", "m", "s"])
-    return all_.select("doc_id", "n_gt", "n_pred", ratio(F.col("m"), F.col("n_gt")).alias("recall"), ratio(F.col("m"), F.col("n_pred")).alias("precision"), F.bround(F.try_divide("s", "n_pred"), 2).alias("mean_iou"))
-
-
 def contained(points: DataFrame, boxes: DataFrame, box_id: str) -> DataFrame:
     """Words with the box that holds their centre."""
     b = boxes.select(*PAGE, box_id, *[F.col(c).alias(f"_b{c}") for c in BOX])

@@ -106,7 +106,8 @@ n as (select doc_id, count(*) n_gt, (select count(*) from p where p.doc_id = w.d
 select doc_id, n_gt, n_pred, round(m / n_gt, 6) as recall, round(m / n_pred, 6) as precision, round_even(s / n_pred, 2) as mean_iou from n join m using (doc_id) join b using (doc_id)""")
 def localization(spark, sf_dir):
     w = fixtures.words(spark, sf_dir)
-    return matching.localization(w, fixtures.predictions(w))
+    found = metrics.localization(w.withColumn("_id", F.col("p") * 2), fixtures.predictions(w).withColumn("_id", F.col("p") * 2 + F.col("fp")))
+    return found.withColumnsRenamed({"recall_boxes": "recall", "precision_boxes": "precision"})
 
 
 @query("select w.doc_id, count(*) as n, round(avg(case when w.value = p.value then 1e0 else 0e0 end), 6) as raw, round(avg(case when translate(w.value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = translate(p.value, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') then 1e0 else 0e0 end), 6) as caseless from w join p on w.doc_id = p.doc_id and w.p = p.p and p.fp = 0 group by 1")
@@ -124,12 +125,12 @@ def table_assign(spark, sf_dir):
     return held.groupBy(*PAGE, "cell_idx").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "value"))), lambda v: v["value"]), " ").alias("text"))
 
 
-@query("select doc_id, page_idx, cell_idx, row_start - 1 as row_start, row_end - 1 as row_end, col_start - 1 as col_start, col_end - 1 as col_end, 6 as num_rows, 5 as num_cols from cells")
+@query("select doc_id, page_idx, cell_idx, row_start - r as row_start, row_end - r as row_end, col_start - c as col_start, col_end - c as col_end, max(row_end - r) over t + 1 as num_rows, max(col_end - c) over t + 1 as num_cols from (select *, min(row_start) over t r, min(col_start) over t c from cells where (doc_id * 7 + page_idx + row_start * col_start) % 3 > 0 and col_start > doc_id % 3 window t as (partition by doc_id, page_idx)) window t as (partition by doc_id, page_idx)")
 def localize_logic(spark, sf_dir):
-    w = Window.partitionBy(*PAGE, "table_idx")
-    r, c = F.min("row_start").over(w), F.min("col_start").over(w)
-    found = fixtures.cells(fixtures.words(spark, sf_dir)).select(*PAGE, "table_idx", "cell_idx", (F.col("row_start") - r).alias("row_start"), (F.col("row_end") - r).alias("row_end"), (F.col("col_start") - c).alias("col_start"), (F.col("col_end") - c).alias("col_end"))
-    return found.withColumn("num_rows", F.max("row_end").over(w) + 1).withColumn("num_cols", F.max("col_end").over(w) + 1).drop("table_idx")
+    """Tables of which some cells were not found."""
+    c = fixtures.cells(fixtures.words(spark, sf_dir)).where("(doc_id * 7 + page_idx + row_start * col_start) % 3 > 0 and col_start > doc_id % 3").withColumns({"value": F.lit(""), "confidence": F.col("score")})
+    cell = F.col("c")
+    return tables.localized(c).select(*PAGE, "num_rows", "num_cols", F.explode("cells").alias("c")).select(*PAGE, cell["cell_idx"].alias("cell_idx"), *[cell[n].alias(n) for n in ("row_start", "row_end", "col_start", "col_end")], "num_rows", "num_cols")
 
 
 @query(f", {_LINES}, t as (select *, case when l = 0 then 'Page-header' when l = 1 then 'Title' when l between 2 and 37 then 'Text' when l = 39 then 'Page-footer' end as label from lines) select doc_id, page_idx, label, count(*) as n from t group by all")
@@ -140,13 +141,13 @@ def layout_labels(spark, sf_dir):
 
 @query("select doc_id, page_idx, count(*) as n, round(sum(1 - x1), 6) as s_x0, round(sum(1 - x0), 6) as s_x1 from w group by all")
 def flip_boxes(spark, sf_dir):
-    return fixtures.words(spark, sf_dir).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), _r(F.sum(1 - F.col("x1"))).alias("s_x0"), _r(F.sum(1 - F.col("x0"))).alias("s_x1"))
+    return fixtures.words(spark, sf_dir).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), *[_r(F.sum(c)).alias(n) for n, c in zip(("s_x0", "s_x1"), G.flip(F.col("x0"), F.col("x1")), strict=True)])
 
 
 @query("select doc_id, page_idx, count(*) as n, round(sum((least(x1, 8e-1) - 2e-1) / 6e-1), 6) as s_x1 from w where x1 > 2e-1 and x0 < 8e-1 and y1 > 2e-1 and y0 < 8e-1 group by all")
 def crop_boxes(spark, sf_dir):
-    inside = fixtures.words(spark, sf_dir).where("x1 > 2e-1 and x0 < 8e-1 and y1 > 2e-1 and y0 < 8e-1")
-    return inside.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), _r(F.sum((F.least(F.col("x1"), F.lit(0.8)) - 0.2) / 0.6)).alias("s_x1"))
+    inside = fixtures.words(spark, sf_dir).withColumn("b", G.crop([F.col(c) for c in BOX], (0.2, 0.2, 0.8, 0.8))).where("b is not null")
+    return inside.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), _r(F.sum("b.x1")).alias("s_x1"))
 
 
 @query("select doc_id, page_idx, case when ascii(value) between 97 and 109 then 'a-m' when ascii(value) between 110 and 122 then 'n-z' else 'other' end as class, count(*) as n, string_agg(value, ' ' order by p) as predictions from w group by all")
@@ -212,9 +213,12 @@ def class_names(spark, sf_dir):
     return _table(spark, sf_dir, "documents").groupBy("lang").count().select((F.row_number().over(Window.orderBy("lang")) - 1).alias("class_idx"), F.col("lang").alias("class_name"))
 
 
-@query("select conv_id, turn, 'ltr' as direction from conversations", views=False)
+@query("select conv_id, turn, case when 4 * (conv_id % 60) > length(regexp_replace(coalesce(text, ''), '[^\\p{L}]', '', 'g')) then 'rtl' when length(regexp_replace(coalesce(text, ''), '[^\\p{L}]', '', 'g')) = 0 and turn = 1 then 'rtl' else 'ltr' end as direction from conversations", views=False)
 def text_direction(spark, sf_dir):
-    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", T.direction(F.coalesce("text", F.lit(""))).alias("direction"))
+    """Turns after some Hebrew words; where there is no letter the second turn's language decides."""
+    c = _table(spark, sf_dir, "conversations")
+    text = F.concat(F.repeat(F.lit("\u05e9\u05dc\u05d5\u05dd "), (F.col("conv_id") % 60).cast("int")), F.coalesce("text", F.lit("")))
+    return c.select("conv_id", "turn", T.direction(text, F.when(F.col("turn") == 1, "he")).alias("direction"))
 
 
 @query("select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\t\\r\\n]+', ' ', 'g')) as text from pages", views=False)
@@ -386,11 +390,6 @@ def _boxed(w, label=False):
 _N = "n as (select doc_id, count(*) n_gt, (select count(*) from p where p.doc_id = w.doc_id) n_pred from w group by doc_id), b as (select doc_id, sum(i) s from (select doc_id, page_idx, fp, pp, max(iou) i from ious group by all) group by 1)"
 
 
-@query(f", {_IOU}, {_N}, m as (select doc_id, sum(case when iou >= 5e-1 then 1 else 0 end) m from ious group by 1) select doc_id, n_gt, n_pred, round(m / n_gt, 6) as recall_boxes, round(m / n_pred, 6) as precision_boxes, round_even(s / n_pred, 2) as mean_iou from n join m using (doc_id) join b using (doc_id)")
-def localization_matched(spark, sf_dir):
-    return metrics.localization(*_boxed(fixtures.words(spark, sf_dir)))
-
-
 _FOLD = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ASCII = "translate({0}, '" + "".join(a for a, b in T.ASCII_OF.items() if len(b) == 1) + "', '" + "".join(b for b in T.ASCII_OF.values() if len(b) == 1).replace("'", "''") + "')"
 for _a, _b in T.ASCII_OF.items():
