@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import geometry as G
 from pagequarry.functions import text as T
 from pagequarry.functions import labels as L
-from pagequarry.operators import assemble, export, matching, metrics, order, selection, tables
+from pagequarry.operators import assemble, elements, export, matching, metrics, order, selection, tables
 from pagequarry.plans import fixtures
 from pagequarry.streaming.words import windowed_counts
 
@@ -562,3 +562,44 @@ select doc_id, page_idx, round(case when k >= 5 and k >= 5e-1 * n then least(35e
 def break_distance(spark, sf_dir):
     found = order.break_distance(assemble.rows_of(fixtures.words(spark, sf_dir)), fixtures.HEIGHT, fixtures.WIDTH)
     return found.withColumn("break_dist", _r(F.col("break_dist")))
+
+
+@query("select doc_id, page_idx, region_idx, type, confidence, x0, y1 from r where confidence > 9e-1")
+def layout_elements(spark, sf_dir):
+    """Regions gathered in arrays, as a model gives them, and cut into rows above a score."""
+    r = fixtures.regions(fixtures.words(spark, sf_dir))
+    sort = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("region_idx", c.alias("v")))), lambda x: x["v"])
+    pages = r.groupBy(*PAGE).agg(sort(F.col("type")).alias("class_names"), sort(F.array(*BOX).cast("array<double>")).alias("boxes"), sort(F.col("confidence").cast("double")).alias("scores"))
+    return elements.layout_elements(pages, 0.9).select(*PAGE, "region_idx", "type", "confidence", "x0", "y1")
+
+
+@query("select doc_id, page_idx, count(*) as n, sum(p) as s_p from w where not exists (select 1 from cells c where w.doc_id = c.doc_id and w.page_idx = c.page_idx and (w.x0 + w.x1) / 2 between c.x0 and c.x1 and (w.y0 + w.y1) / 2 between c.y0 and c.y1) group by all")
+def words_beside_tables(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir)
+    return elements.beside_tables(elements.positive(w), fixtures.cells(w)).groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s_p"))
+
+
+@query(", b as (select w.doc_id, w.page_idx, p, (select arg_min(r.type, ((r.x1 - r.x0) * (r.y1 - r.y0), r.region_idx)) from r where r.doc_id = w.doc_id and r.page_idx = w.page_idx and (w.x0 + w.x1) / 2 between r.x0 and r.x1 and (w.y0 + w.y1) / 2 between r.y0 and r.y1) region from w) select doc_id, page_idx, region, count(*) as n from b group by all")
+def region_types(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir)
+    return elements.region_at(w, fixtures.regions(w)).groupBy(*PAGE, "region").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select doc_id, page_idx, count(distinct p % 3) as n_classes, count(*) filter (p % 3 = 1) as n_ones, round(coalesce(sum(x0) filter (p % 3 = 2), 0), 6) as s_twos from w group by all")
+def boxes_by_class(spark, sf_dir):
+    m = elements.by_class(fixtures.words(spark, sf_dir).withColumn("k", F.col("p") % 3), "k")
+    twos = F.coalesce(F.try_element_at("boxes", F.lit(2).cast("long")), F.array().cast("array<array<double>>"))
+    ones = F.coalesce(F.try_element_at("boxes", F.lit(1).cast("long")), F.array().cast("array<array<double>>"))
+    return m.select(*PAGE, F.size("boxes").cast("long").alias("n_classes"), F.size(ones).cast("long").alias("n_ones"), _r(F.aggregate(twos, F.lit(0.0), lambda a, b: a + b[0])).alias("s_twos"))
+
+
+@query("select distinct (p + doc_id) % 3 as label from w union select distinct 3 + p % 2 from p")
+def class_universe(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir)
+    return elements.class_universe(w.select(((F.col("p") + F.col("doc_id")) % 3).alias("label")), fixtures.predictions(w).select((3 + F.col("p") % 2).alias("label")), "label")
+
+
+@query("select a.vec_id, arg_max(b.vec_id, (list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), -b.vec_id)) as near from (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) v from embeddings) a join (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) v from embeddings where vec_id % 10 = 0) b using (label) group by 1", views=False)
+def nearest_char(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
+    return elements.nearest(e, e.where("vec_id % 10 = 0"), "label", "embedding").where("near is not null").select("vec_id", "near")
