@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagequarry.functions import geometry as G
 from pagequarry.functions import text as T
 from pagequarry.functions import labels as L
-from pagequarry.operators import assemble, elements, export, matching, metrics, order, selection, tables
+from pagequarry.operators import assemble, elements, export, hocr, images, matching, metrics, order, selection, tables
 from pagequarry.plans import fixtures
 from pagequarry.streaming.words import windowed_counts
 
@@ -603,3 +603,38 @@ def class_universe(spark, sf_dir):
 def nearest_char(spark, sf_dir):
     e = _table(spark, sf_dir, "embeddings").withColumn("id", F.col("vec_id"))
     return elements.nearest(e, e.where("vec_id % 10 = 0"), "label", "embedding").where("near is not null").select("vec_id", "near")
+
+
+_PX = "'bbox ' || cast(round_even(x0 * 800, 0) as int) || ' ' || cast(round_even(y0 * 1000, 0) as int) || ' ' || cast(round_even(x1 * 800, 0) as int) || ' ' || cast(round_even(y1 * 1000, 0) as int)"
+_XML = "replace(replace(replace(value, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_HEAD = """'<?xml version=''1.0'' encoding=''utf-8''?>' || chr(10) || '<html xmlns="http://www.w3.org/1999/xhtml" xml:lang="en"><head><title>hOCR</title><meta http-equiv="Content-Type" content="text/html; charset=utf-8" /><meta name="ocr-system" content="pagequarry" /><meta name="ocr-capabilities" content="ocr_page ocr_carea ocr_par ocr_line ocrx_word" /></head><body><div class="ocr_page" id="page_' || (page_idx + 1) || '" title="image; bbox 0 0 800 1000; ppageno 0"'"""
+_FLAT = "; baseline 0 0; x_size 0; x_descenders 0; x_ascenders 0"
+_BOUNDS = "min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1"
+_SURE = "'; x_wconf ' || cast(round_even(confidence * 100, 0) as int)"
+
+
+@query(f""", n as (select *, row_number() over (partition by doc_id, page_idx order by col, l, c) wn, dense_rank() over (partition by doc_id, page_idx order by col, l) ln, dense_rank() over (partition by doc_id, page_idx order by col) bn from w),
+ls as (select doc_id, page_idx, bn, ln, string_agg('<span class="ocrx_word" id="word_' || wn || '" title="' || {_PX} || {_SURE} || '">' || {_XML} || '</span>', '' order by wn) t, {_BOUNDS} from n group by all),
+bs as (select doc_id, page_idx, bn, string_agg('<span class="ocr_line" id="line_' || ln || '" title="' || {_PX} || '{_FLAT}">' || t || '</span>', '' order by ln) t, {_BOUNDS} from ls group by all)
+select doc_id, page_idx, {_HEAD} || '>' || string_agg('<div class="ocr_carea" id="block_' || bn || '" title="' || {_PX} || '"><p class="ocr_par" id="par_' || bn || '" title="' || {_PX} || '">' || t || '</p></div>', '' order by bn) || '</div></body></html>' as export from bs group by doc_id, page_idx""")
+def export_hocr_pages(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir).select(*PAGE, F.col("col").alias("segment"), F.col("l").alias("ord"), F.col("c").alias("place"), "value", "confidence", *BOX)
+    return hocr.page_hocr(w, fixtures.HEIGHT, fixtures.WIDTH)
+
+
+@query(f""", n as (select *, 'k' || (p % 3) as k, row_number() over (partition by doc_id, page_idx order by p % 3, p) n from w)
+select doc_id, page_idx, {_HEAD} || ' />' || string_agg('<div class="ocr_carea" id="' || k || '_prediction_' || n || '" title="' || {_PX} || '"><p class="ocr_par" id="' || k || '_par_' || n || '" title="' || {_PX} || '"><span class="ocr_line" id="' || k || '_line_' || n || '" title="' || {_PX} || '{_FLAT}"><span class="ocrx_word" id="' || k || '_word_' || n || '" title="' || {_PX} || {_SURE} || '">' || {_XML} || '</span></span></p></div>', '' order by n) || '</body></html>' as export from n group by doc_id, page_idx""")
+def export_hocr_classes(spark, sf_dir):
+    w = fixtures.words(spark, sf_dir).select(*PAGE, F.concat(F.lit("k"), (F.col("p") % 3).cast("string")).alias("class"), F.col("p").alias("ord"), "value", "confidence", *BOX)
+    return hocr.class_hocr(w, fixtures.HEIGHT, fixtures.WIDTH)
+
+
+@query(""", g as (select distinct doc_id, page_idx, l as y, col * 10 + c as x from w where length(value) > 5),
+d as (select doc_id, page_idx, count(distinct (y + dy) * 20 + x + dx) as n_dilated from g, range(-1, 2) a(dy), range(-1, 2) b(dx) where y + dy between 0 and 39 and x + dx between 0 and 19 group by all),
+m as (select g.doc_id, g.page_idx, g.y, g.x, count(*) as near from g join g o on g.doc_id = o.doc_id and g.page_idx = o.page_idx and abs(g.y - o.y) <= 1 and abs(g.x - o.x) <= 1 group by all),
+e as (select doc_id, page_idx, cast(count(*) as int) as n, cast(count(*) filter (near = (case when y in (0, 39) then 2 else 3 end) * (case when x in (0, 19) then 2 else 3 end)) as int) as n_eroded from m group by all)
+select doc_id, page_idx, n, cast(n_dilated as int) as n_dilated, n_eroded from e join d using (doc_id, page_idx)""")
+def cell_morphology(spark, sf_dir):
+    long = fixtures.words(spark, sf_dir).where(F.length("value") > 5)
+    grids = long.groupBy(*PAGE).agg(F.collect_set((F.col("l") * 20 + F.col("col") * 10 + F.col("c")).cast("int")).alias("places"))
+    return grids.select(*PAGE, images.cell_morphology()("places").alias("m")).select(*PAGE, "m.*")

@@ -29,9 +29,9 @@ def corner_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def form_json(spark: SparkSession, path: str) -> DataFrame:
-    """Forms with words of their own boxes: (form_id, label, box, text); blank words go."""
+    """Forms with words of their own boxes: (form_id, label, box, text); empty words go."""
     schema = "form array<struct<id:int,label:string,words:array<struct<box:array<int>,text:string>>>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("form").alias("f")).select("f.id", "f.label", F.explode("f.words").alias("w")).select(F.col("id").alias("form_id"), "label", "w.box", "w.text").where("trim(text) <> ''")
+    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("form").alias("f")).select("f.id", "f.label", F.explode("f.words").alias("w")).select(F.col("id").alias("form_id"), "label", "w.box", "w.text").where("text <> ''")
 
 
 def receipt_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -145,7 +145,7 @@ def test_sources(spark, tmp_path):
     assert (r[0].image, r[0].box_idx, len(r[0].poly)) == ("a.png", 0, 4)
     (tmp_path / "c.txt").write_text("0,0,1,0,1,1,0,1,a,b\nbroken\n")
     assert [(x.text, x.poly[1]) for x in annotations.corner_csv(spark, str(tmp_path / "c.txt")).collect()] == [("a,b", [1.0, 0.0])]
-    (tmp_path / "f.json").write_text(json.dumps({"form": [{"id": 1, "label": "q", "box": [0], "words": [{"box": [0, 0, 1, 1], "text": "x"}, {"box": [0], "text": " "}]}]}))
+    (tmp_path / "f.json").write_text(json.dumps({"form": [{"id": 1, "label": "q", "box": [0], "words": [{"box": [0, 0, 1, 1], "text": "x"}, {"box": [0], "text": ""}]}]}))
     assert [x.text for x in annotations.form_json(spark, str(tmp_path / "f.json")).collect()] == ["x"]
 
 
