@@ -409,3 +409,13 @@ def test_pipeline_against_plain_python(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
         docs = corpus_pipeline.materialize(out)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_words_of_texts_in_arrow():
+    import pyarrow as pa
+
+    texts = [*ODD, "É Q\x85q\x1cR", "\x0b\x0c a  \r\n"]
+    for given in (pa.array(texts), pa.array(texts).slice(2, 5), pa.array(texts, pa.large_string()), pa.array([], pa.string()), pa.array([None, ""])):
+        found, lengths = lm.words_of(given.cast(pa.string()) if pa.types.is_null(given.type) else given)
+        want = [lm.words_in(t) for t in given.to_pylist()]
+        assert found.to_pylist() == [w for x in want for w in x] and lengths.tolist() == [len(x) for x in want]
