@@ -2,7 +2,8 @@
 
 Boxes are paired one to one within a page so that the sum of IoUs is largest. Pairs of which neither box meets
 another are settled by joins; the rest, page by page, in numpy. Every metric is a sum of counters that is
-divided at the end, so documents can be added up; a ratio with nothing to divide by is null.
+divided at the end, so documents can be added up; a ratio with nothing to divide by is null. With ``met_only``,
+documents of which no truth meets a prediction are left out; otherwise they have zeros.
 """
 
 from __future__ import annotations
@@ -95,11 +96,12 @@ def matched(gts: DataFrame, preds: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lone.unionByName(rest.groupBy(*PAGE).applyInPandas(_assign, rest.schema)), met
 
 
-def _counts(gts: DataFrame, preds: DataFrame, met: DataFrame) -> DataFrame:
-    """doc_id, n_gt, n_pred and the sum over predictions of their best IoU; documents of one side alone count too."""
+def _counts(gts: DataFrame, preds: DataFrame, met: DataFrame, how: str = "left") -> DataFrame:
+    """doc_id, n_gt, n_pred and the sum over predictions of their best IoU; documents of one side alone count too, unless
+    ``how`` is inner."""
     n = gts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_gt")).join(preds.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pred")), "doc_id", "full")
     best = met.groupBy(*PAGE, "b_id").agg(F.max("iou").alias("i")).groupBy("doc_id").agg(F.sum("i").alias("_best"))
-    return n.join(best, "doc_id", "left").na.fill(0, ["n_gt", "n_pred", "_best"])
+    return n.join(best, "doc_id", how).na.fill(0, ["n_gt", "n_pred", "_best"])
 
 
 def _rates(counts: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
@@ -129,11 +131,11 @@ def recognition(gts: DataFrame, preds: DataFrame, thresh: float = 0.5) -> DataFr
     return _rates(_counts(gts, preds, met), near.groupBy("doc_id").agg(*[F.sum(c.cast("long")).alias(n) for n, c in same.items()]), list(same))
 
 
-def detection(gts: DataFrame, preds: DataFrame, thresh: float = 0.5, column: str = "label") -> DataFrame:
+def detection(gts: DataFrame, preds: DataFrame, thresh: float = 0.5, column: str = "label", met_only: bool = False) -> DataFrame:
     """Boxes with classes per document: a pair counts if its classes are equal."""
     pairs, met = matched(gts, preds)
     near = _both(gts, preds, pairs.where(F.col("iou") >= thresh), column)
-    return _rates(_counts(gts, preds, met), near.groupBy("doc_id").agg(F.sum(F.col("_x").eqNullSafe(F.col("_y")).cast("long")).alias("classes")), ["classes"])
+    return _rates(_counts(gts, preds, met, "inner" if met_only else "left"), near.groupBy("doc_id").agg(F.sum(F.col("_x").eqNullSafe(F.col("_y")).cast("long")).alias("classes")), ["classes"])
 
 
 def table_cells(gts: DataFrame, preds: DataFrame, logic: Column, thresh: float = 0.5) -> DataFrame:
