@@ -110,11 +110,11 @@ def _rates(counts: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
     return every.select("doc_id", "n_gt", "n_pred", *rates, F.bround(F.try_divide("_best", "n_pred"), 2).alias("mean_iou"))
 
 
-def localization(gts: DataFrame, preds: DataFrame, thresh: float = 0.5) -> DataFrame:
+def localization(gts: DataFrame, preds: DataFrame, thresh: float = 0.5, met_only: bool = False) -> DataFrame:
     """Recall, precision and mean IoU of boxes per document; a pair counts from ``thresh`` on."""
     pairs, met = matched(gts, preds)
     hits = pairs.groupBy("doc_id").agg(F.sum((F.col("iou") >= thresh).cast("long")).alias("boxes"))
-    return _rates(_counts(gts, preds, met), hits, ["boxes"])
+    return _rates(_counts(gts, preds, met, "inner" if met_only else "left"), hits, ["boxes"])
 
 
 def _both(gts: DataFrame, preds: DataFrame, pairs: DataFrame, column: str) -> DataFrame:
