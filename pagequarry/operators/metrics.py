@@ -104,8 +104,8 @@ def _counts(gts: DataFrame, preds: DataFrame, met: DataFrame, how: str = "left")
     return n.join(best, "doc_id", how).na.fill(0, ["n_gt", "n_pred", "_best"])
 
 
-def _rates(counts: DataFrame, hits: DataFrame, names: list[str]) -> DataFrame:
-    every = counts.join(hits, "doc_id", "left").na.fill(0, names)
+def _rates(counts: DataFrame, hits: DataFrame, names: list[str], how: str = "left") -> DataFrame:
+    every = counts.join(hits, "doc_id", how).na.fill(0, names)
     rates = [c for n in names for c in (ratio(F.col(n), F.col("n_gt")).alias(f"recall_{n}"), ratio(F.col(n), F.col("n_pred")).alias(f"precision_{n}"))]
     return every.select("doc_id", "n_gt", "n_pred", *rates, F.bround(F.try_divide("_best", "n_pred"), 2).alias("mean_iou"))
 
@@ -123,12 +123,14 @@ def _both(gts: DataFrame, preds: DataFrame, pairs: DataFrame, column: str) -> Da
     return pairs.join(a, [*PAGE, "a_id"]).join(b, [*PAGE, "b_id"])
 
 
-def recognition(gts: DataFrame, preds: DataFrame, thresh: float = 0.5) -> DataFrame:
-    """End-to-end reading per document: a pair of boxes counts if its ``value`` agrees, in four ways."""
+def recognition(gts: DataFrame, preds: DataFrame, thresh: float = 0.5, met_only: bool = False) -> DataFrame:
+    """End-to-end reading per document: a pair of boxes counts if its ``value`` agrees, in four ways. ``met_only``
+    asks for a pair from ``thresh`` on."""
     pairs, met = matched(gts, preds)
     same = same_text(F.col("_x"), F.col("_y"))
     near = _both(gts, preds, pairs.where(F.col("iou") >= thresh), "value")
-    return _rates(_counts(gts, preds, met), near.groupBy("doc_id").agg(*[F.sum(c.cast("long")).alias(n) for n, c in same.items()]), list(same))
+    hits = near.groupBy("doc_id").agg(*[F.sum(c.cast("long")).alias(n) for n, c in same.items()])
+    return _rates(_counts(gts, preds, met, "inner" if met_only else "left"), hits, list(same), "inner" if met_only else "left")
 
 
 def detection(gts: DataFrame, preds: DataFrame, thresh: float = 0.5, column: str = "label", met_only: bool = False) -> DataFrame:
