@@ -10,11 +10,9 @@ text has one proper probability.
 Windows of ``WINDOW`` ids overlap: every id is scored once, with at least ``OVERLAP`` ids before it or
 all there are, and windows are masked and run in batches.
 
-Counts of words, and of ids in words, are taken over all training texts. The classes, the counts of
-ids across words and the weights are fitted on blocks of words that a hash draws from all training texts: a
-``SHARE`` of them, more where that gives fewer than ``LEAST_WORDS``, so they grow with the corpus. The
-weights are started on one part of the blocks and go on in tasks of ``TRAINER_IDS`` each, whose changes
-are averaged.
+All counts, the classes and the weights are learned from all training texts. The texts are cut into blocks of
+words; the weights are started on one part of the blocks and go on in tasks of about ``TRAINER_IDS`` each, every
+block in one of them, whose changes are averaged.
 
 The word unigram base needs a count for every word. Words with more than ``HEAD_SHARE`` of all tokens
 are at most 1 / HEAD_SHARE by arithmetic and travel to every task; rarer words, which cannot be hot,
@@ -46,8 +44,8 @@ WINDOW, OVERLAP = 40, 8
 WIDTH, HIDDEN, CLASSES, OWN_CLASS = 16, 32, 96, 48
 #: Windows that are scored at once; their arrays stay in a core's cache.
 TOGETHER = 160
-#: Words of a training block; what share of all blocks is drawn, and the fewest words; ids of a trainer.
-BLOCK, SHARE, LEAST_WORDS, TRAINER_IDS = 48, 1 / 40, 2_000_000, 1_500_000
+#: Words of a training block, and ids of a trainer.
+BLOCK, TRAINER_IDS = 48, 1_500_000
 #: Windows of a step, steps of a trainer at least, and the rates of the start and of the trainers.
 BATCH, STEPS, START_RATE, RATE, SEED = 32, 1000, 0.02, 0.008, 3
 #: Largest score that attention weighs as it is.
@@ -211,29 +209,28 @@ def id_counts(words: DataFrame, path: str, cls: np.ndarray, n_texts: int) -> np.
     return found
 
 
-def blocks_of(training: DataFrame, path: str, share: float) -> DataFrame:
-    """(h, ids): the id before and the ids of blocks of words, a ``share`` of all, drawn by hash."""
+def blocks_of(training: DataFrame, path: str) -> DataFrame:
+    """(h, ids): the id before and the ids of each block of words of all texts, with a hash. A text's end is its last word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sub = subwords(path)
         for batch in slices(batches):
             words, n = words_of(batch.column("text"))
-            begin, many = np.cumsum(n) - n, n // BLOCK + 1
+            ids, sizes, _ = sub.pack(words, n)
+            many = n // BLOCK + 1
             owner = np.repeat(np.arange(len(n)), many)
-            place = (np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)).astype(np.uint64)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            first = np.cumsum(n + 1) - n - 1  # word of each text, ends among them
+            upto = np.r_[0, np.cumsum(sizes)]
+            begin = upto[first[owner] + place * BLOCK]
+            end = upto[np.minimum(first[owner] + (place + 1) * BLOCK, first[owner] + n[owner] + 1)]
             with np.errstate(over="ignore"):
-                x = (batch.column("h").to_numpy().view(np.uint64)[owner] + place) * np.uint64(0x9E3779B97F4A7C15)
+                x = (batch.column("h").to_numpy().view(np.uint64)[owner] + place.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
                 x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
                 x ^= x >> np.uint64(27)
-            drawn = np.flatnonzero((x >> np.uint64(11)).astype(float) / 2**53 < share)
-            hashes, made = x[drawn].view(np.int64), []
-            for t, b in zip(owner[drawn].tolist(), place[drawn].tolist(), strict=True):
-                at, end = int(b) * BLOCK, (int(b) + 1) * BLOCK
-                w = words.slice(begin[t] + max(at - 1, 0), max(0, min(end, n[t]) - max(at - 1, 0))).to_pylist()
-                ids = sub.ids(w)
-                ids = ids[len(sub._one(w[0])) - 1 :] if at else np.append(np.uint16(sub.end), ids)
-                made.append((ids if end > n[t] else ids[:-1]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(made, pa.binary())], names=["h", "ids"])
+            raw = np.append(np.uint16(sub.end), ids.astype(np.uint16)).tobytes()  # before a text's first id is the end of another
+            made = [raw[2 * a : 2 * b + 2] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(made, pa.binary())], names=["h", "ids"])
 
     return training.select(F.xxhash64("id", "text", F.monotonically_increasing_id()).alias("h"), "text").mapInArrow(run, "h long, ids binary")
 
@@ -597,10 +594,10 @@ def mixed(spelling: np.ndarray, share: np.ndarray, each: np.ndarray, c: np.ndarr
         return np.logaddexp((spelling + np.log10(share)) * np.log(10), np.log(each * c)) / np.log(10)
 
 
-def fit(training: DataFrame, words: DataFrame, path: str, n_texts: int, n_words: int, attends: bool = True) -> Scorer:
+def fit(training: DataFrame, words: DataFrame, path: str, n_texts: int, attends: bool = True) -> Scorer:
     """``training`` has id and text, ``words`` their counts."""
     sub = subwords(path)
-    blocks = materialize(blocks_of(training, path, min(1.0, max(SHARE, LEAST_WORDS / max(n_words, 1)))))
+    blocks = materialize(blocks_of(training, path))
     drawn = blocks.agg(F.coalesce(F.sum(F.length("ids")), F.lit(0))).first()[0] // 2
     trainers = max(1, -(-drawn // TRAINER_IDS))
     often = block_counts(blocks, sub.size)
@@ -631,7 +628,7 @@ def score_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     common = (F.col("c") >= least) & (F.length("word") <= HEAD_BYTES)
     head = {bytes(r["word"]): r["c"] for r in words.where(common).toLocalIterator()}
     owner = uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast((head, fit(training, words, path, n_texts, total)))
+    shared = spark.sparkContext.broadcast((head, fit(training, words, path, n_texts)))
     end_base = float(np.log10((n_texts + SMOOTH) / under)) if under else 0.0
     kind = docs.schema["id"].dataType.simpleString()
 

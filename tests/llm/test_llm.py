@@ -419,3 +419,18 @@ def test_words_of_texts_in_arrow():
         found, lengths = lm.words_of(given.cast(pa.string()) if pa.types.is_null(given.type) else given)
         want = [lm.words_in(t) for t in given.to_pylist()]
         assert found.to_pylist() == [w for x in want for w in x] and lengths.tolist() == [len(x) for x in want]
+
+
+def test_lm_blocks_hold_all_words(spark):
+    """All counts and weights come from these blocks: each id of each text is in one, after the id before it."""
+    import numpy as np
+
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    sub = lm.subwords(path)
+    texts = [None, "", " ", "a b", "x " * (lm.BLOCK - 1), "x y " * (lm.BLOCK // 2), "Hello World " * 300 + "end"]
+    rows = lm.blocks_of(spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1), path).collect()
+    found = [np.frombuffer(bytes(r["ids"]), np.uint16) for r in rows]
+    want = np.concatenate([sub.ids(lm.words_in(t)) for t in texts])
+    assert np.array_equal(np.concatenate([x[1:] for x in found]), want)
+    assert np.array_equal(np.concatenate([x[:1] for x in found[1:]]), [x[-1] for x in found[:-1]]) and found[0][0] == sub.end
+    assert len({r["h"] for r in rows}) == len(rows) == sum(len(lm.words_in(t)) // lm.BLOCK + 1 for t in texts)
