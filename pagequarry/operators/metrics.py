@@ -160,16 +160,20 @@ def average_precision(gts: DataFrame, preds: DataFrame, thresholds: tuple[float,
     met = overlaps(gts.withColumn("_id", F.struct("label", "_id")), preds.withColumn("_id", F.struct("label", "_id")), "_id", "_id").where("a_id.label = b_id.label")
     best = met.groupBy(*PAGE, "b_id").agg(F.max(F.struct("iou", (-F.col("a_id._id")).alias("gt"))).alias("m")).select(*PAGE, F.col("b_id.label").alias("label"), F.col("b_id._id").alias("_id"), "m.*")
     every = preds.select(*PAGE, "label", "_id", "score").join(best, [*PAGE, "label", "_id"], "left")
-    rows = every.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).withColumn("_near", F.coalesce(F.col("iou") >= F.col("threshold"), F.lit(False)))
-    first = Window.partitionBy(*PAGE, "label", "threshold", F.when(F.col("_near"), F.col("gt")).otherwise(F.lit(1)), "_near").orderBy(F.desc("score"), "_id")
-    told = rows.withColumn("_tp", (F.col("_near") & (F.row_number().over(first) == 1)).cast("long")).withColumn("_b", F.floor(F.col("score") * BUCKETS))
-    sums = told.groupBy("threshold", "label", "_b").agg(F.sum("_tp").alias("_t"), F.count(F.lit(1)).alias("_n"))
-    above = Window.partitionBy("threshold", "label").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("threshold", "label", "_b", F.coalesce(F.sum("_t").over(above), F.lit(0)).alias("_t0"), F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"))
-    inside = Window.partitionBy("threshold", "label", "_b").orderBy(F.desc("score"), *PAGE, "_id").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = told.select("threshold", "label", "_b", "_tp", F.sum("_tp").over(inside).alias("_t"), F.count(F.lit(1)).over(inside).alias("_n")).where("_tp = 1").join(offsets, ["threshold", "label", "_b"])
+    # a detection is right where no better one of its box is beyond the threshold: all thresholds in one pass, as columns
+    first = Window.partitionBy(*PAGE, "label", "gt").orderBy(F.desc("score"), "_id").rowsBetween(Window.unboundedPreceding, -1)
+    right = [(F.coalesce(F.col("iou") >= t, F.lit(False)) & F.coalesce(F.col("_before") < t, F.lit(True))).cast("long") for t in thresholds]
+    tps = [f"_tp{k}" for k in range(len(thresholds))]
+    told = every.withColumn("_before", F.max("iou").over(first)).select(*PAGE, "label", "_id", "score", F.floor(F.col("score") * BUCKETS).alias("_b"), *[c.alias(n) for c, n in zip(right, tps, strict=True)])
+    sums = told.groupBy("label", "_b").agg(*[F.sum(n).alias(n) for n in tps], F.count(F.lit(1)).alias("_n"))
+    above = Window.partitionBy("label").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("label", "_b", *[F.coalesce(F.sum(n).over(above), F.lit(0)).alias(f"{n}_0") for n in tps], F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_n0"))
+    inside = Window.partitionBy("label", "_b").orderBy(F.desc("score"), *PAGE, "_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = told.select("label", "_b", *tps, *[F.sum(n).over(inside).alias(f"{n}_t") for n in tps], F.count(F.lit(1)).over(inside).alias("_n")).where(F.greatest(*tps, F.lit(0)) == 1).join(offsets, ["label", "_b"])
+    each = F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(n).alias("tp"), (F.col(f"{n}_t") + F.col(f"{n}_0")).alias("t")) for t, n in zip(thresholds, tps, strict=True)]))
+    ranked = placed.select("label", each.alias("_e"), (F.col("_n") + F.col("_n0")).alias("_n")).select("label", "_e.*", "_n").where("tp = 1")
     truth = gts.groupBy("label").agg(F.count(F.lit(1)).alias("_gt"))
-    reached = ranked.join(truth, "label").select("threshold", "label", ((F.col("_t") + F.col("_t0")) / F.col("_gt")).alias("r"), ((F.col("_t") + F.col("_t0")) / (F.col("_n") + F.col("_n0"))).alias("p"))
+    reached = ranked.join(truth, "label").select("threshold", "label", (F.col("t") / F.col("_gt")).alias("r"), (F.col("t") / F.col("_n")).alias("p"))
     k = F.floor(F.col("r") * 100).cast("int")
     level = F.when((k + 1) * F.lit(0.01) <= F.col("r"), k + 1).when(k * F.lit(0.01) <= F.col("r"), k).otherwise(k - 1)
     peaks = reached.groupBy("threshold", "label", level.alias("k")).agg(F.max("p").alias("p"))
