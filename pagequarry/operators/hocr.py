@@ -18,9 +18,12 @@ def _attribute(c: Column) -> Column:
     return F.replace(T.escape_html(c), F.lit('"'), F.lit("&quot;"))
 
 
-def element(tag: str, kind: str, name: Column, title: Column, content: Column) -> Column:
-    """An element with its class, id and title; ``content`` is XML. Empty elements close themselves."""
+def element(tag: str, kind: str, name: Column, title: Column, content: Column, filled: bool = False) -> Column:
+    """An element with its class, id and title; ``content`` is XML. Empty elements close themselves; content that is
+    known to be there (``filled``) is not looked at, as it would be made again at each level of nesting."""
     opened = F.concat(F.lit(f'<{tag} class="{kind}" id="'), _attribute(name), F.lit('" title="'), title, F.lit('"'))
+    if filled:
+        return F.concat(opened, F.lit(">"), content, F.lit(f"</{tag}>"))
     return F.concat(opened, F.when(content == "", F.lit(" />")).otherwise(F.concat(F.lit(">"), content, F.lit(f"</{tag}>"))))
 
 
@@ -52,10 +55,10 @@ def table_parts(cells: DataFrame, height: int, width: int) -> DataFrame:
     numbered = numbered.withColumn("_k", F.row_number().over(Window.partitionBy(*PAGE, "_t", "row_start").orderBy("col_start", "x0", "value")))
     cell = element("span", "ocrx_word", F.concat(F.lit("table_"), s("_t"), F.lit("_cell_"), s(F.col("row_start") + 1), F.lit("_"), s("_k")), F.concat(bbox(), _sure(F.col("confidence"))), T.escape_html(F.col("value")))
     rows = numbered.withColumn("_c", cell).groupBy(*PAGE, "segment", "_t", "row_start").agg(_in_order(["_k"], F.col("_c")).alias("_c"), *bounds)
-    line = element("span", "ocr_line", F.concat(F.lit("table_"), s("_t"), F.lit("_row_"), s(F.col("row_start") + 1)), F.concat(bbox(), F.lit(_LINE)), F.col("_c"))
+    line = element("span", "ocr_line", F.concat(F.lit("table_"), s("_t"), F.lit("_row_"), s(F.col("row_start") + 1)), F.concat(bbox(), F.lit(_LINE)), F.col("_c"), filled=True)
     whole = rows.withColumn("_c", line).groupBy(*PAGE, "segment", "_t").agg(_in_order(["row_start"], F.col("_c")).alias("_c"), *bounds)
-    par = element("p", "ocr_par", F.concat(F.lit("table_par_"), s("_t")), bbox(), F.col("_c"))
-    return whole.select(*PAGE, "segment", element("div", "ocr_carea", F.concat(F.lit("table_"), s("_t")), bbox(), par).alias("part"))
+    par = element("p", "ocr_par", F.concat(F.lit("table_par_"), s("_t")), bbox(), F.col("_c"), filled=True)
+    return whole.select(*PAGE, "segment", element("div", "ocr_carea", F.concat(F.lit("table_"), s("_t")), bbox(), par, filled=True).alias("part"))
 
 
 def page_hocr(words: DataFrame, height: int, width: int, language: Column | None = None, title: str = "hOCR", system: str = "pagequarry", tables: DataFrame | None = None) -> DataFrame:
@@ -74,10 +77,10 @@ def page_hocr(words: DataFrame, height: int, width: int, language: Column | None
     rows = rows.withColumns({"_w": F.row_number().over(order), "_l": F.dense_rank().over(page.orderBy("segment", "ord")), "_b": F.dense_rank().over(page.orderBy("segment"))})
     word = element("span", "ocrx_word", number("word_", "_w"), F.concat(bbox(), _sure(F.col("confidence"))), T.escape_html(F.col("value")))
     lines = rows.withColumn("_c", word).groupBy(*PAGE, "segment", "_b", "_l").agg(_in_order(["_w"], F.col("_c")).alias("_c"), *bounds)
-    line = element("span", "ocr_line", number("line_", "_l"), F.concat(bbox(), F.lit(_LINE)), F.col("_c"))
+    line = element("span", "ocr_line", number("line_", "_l"), F.concat(bbox(), F.lit(_LINE)), F.col("_c"), filled=True)
     blocks = lines.withColumn("_c", line).groupBy(*PAGE, "segment", "_b").agg(_in_order(["_l"], F.col("_c")).alias("_c"), *bounds)
-    par = element("p", "ocr_par", number("par_", "_b"), bbox(), F.col("_c"))
-    parts = blocks.select(*PAGE, "segment", element("div", "ocr_carea", number("block_", "_b"), bbox(), par).alias("part"))
+    par = element("p", "ocr_par", number("par_", "_b"), bbox(), F.col("_c"), filled=True)
+    parts = blocks.select(*PAGE, "segment", element("div", "ocr_carea", number("block_", "_b"), bbox(), par, filled=True).alias("part"))
     if tables is not None:
         parts = parts.unionByName(table_parts(tables, height, width))
     pages = parts.groupBy(*PAGE).agg(_in_order(["segment"], F.col("part")).alias("_c"))
@@ -92,7 +95,7 @@ def class_hocr(predictions: DataFrame, height: int, width: int, title: str = "hO
     rows = predictions.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE).orderBy("class", "ord")))
     name = lambda kind: F.concat(F.col("class"), F.lit(f"_{kind}_"), F.col("_n").cast("string"))
     word = element("span", "ocrx_word", name("word"), F.concat(bbox, _sure(F.col("confidence"))), T.escape_html(F.coalesce("value", F.lit(""))))
-    line = element("span", "ocr_line", name("line"), F.concat(bbox, F.lit(_LINE)), word)
-    area = element("div", "ocr_carea", name("prediction"), bbox, element("p", "ocr_par", name("par"), bbox, line))
+    line = element("span", "ocr_line", name("line"), F.concat(bbox, F.lit(_LINE)), word, filled=True)
+    area = element("div", "ocr_carea", name("prediction"), bbox, element("p", "ocr_par", name("par"), bbox, line, filled=True), filled=True)
     pages = rows.withColumn("_c", area).groupBy(*PAGE).agg(_in_order(["_n"], F.col("_c")).alias("_c"))
     return pages.select(*PAGE, document(F.col("_c"), F.col("page_idx"), height, width, F.lit(None).cast("string"), title, system, inside=False).alias("export"))
