@@ -19,8 +19,8 @@ The R-trees of the blocks that are left are searched twice:
 
 ``linked_pairs`` makes the pairs within components too, and counts links.
 
-Sets for verification are made again from the texts that have a candidate, found through a Bloom filter
-of fixed size, and compared two at a time.
+Counts are made again from the texts of keys with a block, found through a Bloom filter of fixed size, and
+bound the pairs. Only texts of pairs that are left after that travel, and their sets are compared two at a time.
 
 Null and blank texts have no shingles, link with nothing and are their own component; texts with fewer
 words than a shingle have their words as one. Null ids are returned with a null component. Repeated
@@ -30,7 +30,7 @@ rows are one key and one component.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -213,7 +213,7 @@ def profile(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
-    """(token, key, n) for the prefix of every distinct set, once for each task that meets it."""
+    """(token, key) for the prefix of every distinct set, once for each task that meets it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -229,14 +229,13 @@ def prefixes(docs: DataFrame, often: np.ndarray) -> DataFrame:
                 p = prefix_length(len(s))
                 tokens.append(s[np.lexsort((s, heat))[:p]])
                 keys.append(key)
-                sizes.append((len(s), p))
+                sizes.append(p)
             if len(seen) > 300_000:
                 seen.clear()
             if tokens:
-                times = [p for _, p in sizes]
-                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.repeat(np.array(keys, np.int64), times)), pa.array(np.repeat(np.array([n for n, _ in sizes], np.int32), times))], names=["token", "key", "n"])
+                yield pa.RecordBatch.from_arrays([_signed(np.concatenate(tokens)), pa.array(np.repeat(np.array(keys, np.int64), sizes))], names=["token", "key"])
 
-    return docs.mapInArrow(run, "token long, key long, n int")
+    return docs.mapInArrow(run, "token long, key long")
 
 
 def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
@@ -249,31 +248,50 @@ def bloom_of(keys: DataFrame, column: str) -> np.ndarray:
     return found
 
 
-def candidate_texts(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, packed, vector, fine, n) of the sets named in ``keys`` (key), from one text of each; words and counts are compressed."""
-    named = materialize(reps.join(keys, "key").select("key", F.col("rep").alias("id")))
+def _made_of(docs: DataFrame, named: DataFrame, made: Callable[[list[list[bytes]], list[np.ndarray]], list[pa.Array]], schema: str) -> DataFrame:
+    """A row of ``made`` (key and what is in ``schema``), from the text of that id and key, beside each of ``named`` (key, id)."""
     sieve = bloom_of(named.select(F.xxhash64("id").alias("h")), "h")  # an id may have several texts: the key decides
-
+    names = ["key", *[c.split()[0] for c in schema.split(", ")]]
     marked = docs.withColumns({f"_b{k}": F.pmod(F.xxhash64(F.lit(k), F.xxhash64("id")), F.lit(BLOOM_WORDS * 64)) for k in (1, 2)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             mask = np.ones(batch.num_rows, bool)
             for name in ("_b1", "_b2"):
                 bit = batch.column(name).to_numpy()
                 mask &= (sieve[bit >> 6] >> (bit & 63)) & 1 == 1
             for some in slices(iter([batch.select(["id", "text"]).filter(pa.array(mask))]), max_bytes=1_500_000):
-                words = [words_in(t) for t in some.column("text").to_pylist()]
+                words = [w for w in map(words_in, some.column("text").to_pylist()) if w]
                 sets = shingle_sets(words)
-                vectors = [count_vector(s).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([pack(b" ".join(w)) for w in words], pa.binary()), pa.array(map(pack, vectors), pa.binary()), pa.array([pack(fine_counts(s)) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())], names=["key", "packed", "vector", "fine", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), *made(words, sets)], names=names)
+
+    texts = marked.mapInArrow(run, f"key long, {schema}").dropDuplicates(["key"])
+    return materialize(texts.join(small(named.withColumnRenamed("id", "rep"), 500_000), "key"))
+
+
+def candidate_counts(docs: DataFrame, reps: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, vector, fine, n, rep) of the sets named in ``keys`` (key), from one text of each, and its columns; counts are compressed."""
+
+    def made(_: list[list[bytes]], sets: list[np.ndarray]) -> list[pa.Array]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        vectors = [count_vector(s).tobytes() for s in sets]
+        return [pa.array(map(pack, vectors), pa.binary()), pa.array([pack(fine_counts(s)) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64())]
 
-    texts = marked.mapInArrow(run, "key long, packed binary, vector binary, fine binary, n long").where("n > 0").dropDuplicates(["key"])
-    return materialize(texts.join(small(named.select("key"), 500_000), "key", "left_semi"))
+    named = materialize(reps.join(keys, "key").withColumnRenamed("rep", "id"))
+    return _made_of(docs, named, made, "vector binary, fine binary, n long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def packed_texts(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, packed, rep) of the sets in ``named`` (key, id): the words of one text of each, compressed."""
+
+    def made(words: list[list[bytes]], _: list[np.ndarray]) -> list[pa.Array]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return [pa.array([pack(b" ".join(w)) for w in words], pa.binary())]
+
+    return _made_of(docs, named, made, "packed binary")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) of keys whose sets link. Pairs are first bounded by counts in many groups."""
     points = texts.select("key", "fine", "n")
     left, right = points.toDF("a", "fa", "na"), points.toDF("b", "fb", "nb")
@@ -286,8 +304,8 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> Data
             yield f.loc[[m is None or m >= k for m, k in zip(most, need, strict=True)], ["a", "b"]]
 
     near = materialize(pairs.join(left, "a").join(right, "b").mapInPandas(bounded, "a long, b long"))
-    named = materialize(near.select(F.col("a").alias("key")).union(near.select("b")).distinct())
-    packed = texts.select("key", "packed").join(small(named, 500_000), "key", "left_semi")
+    asked = near.select(F.col("a").alias("key")).union(near.select("b")).distinct()
+    packed = packed_texts(docs, materialize(texts.select("key", F.col("rep").alias("id")).join(asked, "key"))).select("key", "packed")
     both = near.join(packed.toDF("b", "pb"), "b").join(packed.toDF("a", "pa"), "a").select("a", "b", "pa", "pb")
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -375,7 +393,10 @@ def _searched(groups: DataFrame) -> DataFrame:
 
 
 def _blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(profiles, reps, rows of distinct blocks (token, key, n), texts of their keys) of ``docs`` (id, tag, text)."""
+    """(profiles, reps, rows of distinct blocks (token, key), counts of their keys) of ``docs`` (id, tag, text).
+
+    The counts have ``times`` too, the number of tokens that a key shares with others.
+    """
     profiles, cells = profile(docs)
     often = np.zeros(CELLS, np.int64)
     for r in cells.groupBy("cell").agg(F.sum("times").alias("times")).collect():
@@ -384,9 +405,9 @@ def _blocks(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     reps = profiles.where("n > 0 and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
     tokens = prefixes(docs.where("id is not null"), rough)
     here = Window.partitionBy("token").orderBy("key")
-    shared = materialize(tokens.select("*", F.lag("key").over(here).alias("_p"), F.lead("key").over(here).alias("_n")).where("(_p is not null and _p <> key) or (_n is not null and _n <> key)").select("token", "key", "n").distinct())
-    texts = candidate_texts(docs, reps, shared.select("key").distinct())
-    return profiles, reps, shared, texts
+    shared = materialize(tokens.select("*", F.lag("key").over(here).alias("_p"), F.lead("key").over(here).alias("_n")).where("(_p is not null and _p <> key) or (_n is not null and _n <> key)").select("token", "key").distinct())
+    texts = candidate_counts(docs, reps, shared.groupBy("key").agg(F.count(F.lit(1)).alias("times")))
+    return profiles, reps, materialize(shared.join(_distinct_blocks(shared.withColumn("root", F.col("key"))), "token")), texts
 
 
 def _distinct_blocks(rows: DataFrame, only: str = "true") -> DataFrame:
@@ -397,12 +418,9 @@ def _distinct_blocks(rows: DataFrame, only: str = "true") -> DataFrame:
 
 def _star_pairs(shared: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of every block's lead and its other keys, found in the blocks' R-trees."""
-    kept = _distinct_blocks(shared.withColumn("root", F.col("key")))
     # the share of a prefix that others have: highest for the text that copies were made from
-    share = F.col("_c") / (F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1)
-    shares = shared.groupBy("key", "n").agg(F.count(F.lit(1)).alias("_c")).select("key", share.alias("share"))
-    points = texts.join(shares, "key").select("key", "share", "vector")
-    rows = materialize(shared.join(kept, "token").join(points, "key"))
+    share = F.col("times") / (F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100) + 1)
+    rows = materialize(shared.join(texts.select("key", "n", share.alias("share"), "vector"), "key"))
     leads = rows.groupBy("token").agg(F.max_by(F.struct("key", "n", "vector"), F.struct("share", -F.col("key"))).alias("_l")).select("token", "_l.*")
     return lead_pairs(rows.select("token", "key", "n", "vector"), leads)
 
@@ -416,12 +434,12 @@ def link_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     docs = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(df[text_col]).alias("tag"), df[text_col].alias("text"))
     profiles, reps, shared, texts = _blocks(docs)
     pairs = materialize(_star_pairs(shared, texts))
-    edges = materialize(verified(pairs, texts))
+    edges = materialize(verified(pairs, texts, docs))
     roots = connected_components(edges)
-    rooted = shared.join(small(roots, 500_000).withColumnRenamed("id", "key"), "key", "left").select("token", "key", "n", F.coalesce("root", "key").alias("root")).repartition("token")
+    rooted = shared.join(small(roots, 500_000).withColumnRenamed("id", "key"), "key", "left").select("token", "key", F.coalesce("root", "key").alias("root")).repartition("token")
     # blocks of different roots
-    rest = rooted.join(_distinct_blocks(rooted, "_lo <> _hi"), "token").join(texts.select("key", "vector"), "key", "left")
-    more = materialize(verified(materialize(tree_pairs(rest).join(pairs, ["a", "b"], "left_anti")), texts))
+    rest = rooted.join(_distinct_blocks(rooted, "_lo <> _hi"), "token").join(texts.select("key", "n", "vector"), "key", "left")
+    more = materialize(verified(materialize(tree_pairs(rest).join(pairs, ["a", "b"], "left_anti")), texts, docs))
     final = connected_components(edges.union(more))
     joined = reps.join(final.withColumnRenamed("id", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     least = joined.groupBy("root").agg(F.min("rep").alias("component"))
@@ -440,9 +458,8 @@ def linked_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     docs = df.select(df[id_col].cast("long").alias("id"), F.xxhash64(df[text_col]).alias("tag"), df[text_col].alias("text"))
     profiles, _, shared, texts = _blocks(docs)
-    rows = shared.withColumn("root", F.col("key"))
-    rest = rows.join(_distinct_blocks(rows), "token").join(texts.select("key", "vector"), "key")
-    pairs = materialize(verified(materialize(tree_pairs(rest)), texts))
+    rest = shared.withColumn("root", F.col("key")).join(texts.select("key", "n", "vector"), "key")
+    pairs = materialize(verified(materialize(tree_pairs(rest)), texts, docs))
     held = profiles.where("n > 0 and id is not null")
     size = materialize(held.groupBy("key").agg(F.count(F.lit(1)).alias("size")))
     both = pairs.union(pairs.select("b", "a"))

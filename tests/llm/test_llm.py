@@ -67,6 +67,21 @@ def test_jaccard_against_all_pairs(spark, docs, odd, none):
     assert jaccard.link_groups(odd).where("doc_id is null and component_id is null").count() == 1
 
 
+def test_jaccard_texts_that_travel(spark, monkeypatch):
+    """Texts that share a shingle alone are left out by counts: only texts of near copies are packed, and equal blocks are one."""
+    rows = [(k, f"all of these share this {' '.join(f'w{k}x{i}' for i in range(30))}") for k in range(20)]
+    rows += [(100, " ".join(f"v{i}" for i in range(60))), (101, " ".join(f"v{i}" for i in range(59)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed, made = [], jaccard.packed_texts
+    monkeypatch.setattr(jaccard, "packed_texts", lambda docs, named: packed.extend(r.id for r in named.collect()) or made(docs, named))
+    found = {r.doc_id: r.component_id for r in jaccard.link_groups(docs).collect()}
+    assert found == {k: min(k, 100) for k, _ in rows}
+    assert sorted(packed) == [100, 101]
+    _, _, shared, texts = jaccard._blocks(docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("tag"), "text"))
+    assert all(r.times > 5 for r in texts.where("rep >= 100").collect())
+    assert shared.join(texts.where("rep >= 100"), "key").select("token").distinct().count() == 1
+
+
 def test_jaccard_ids_with_several_texts(spark):
     a = " ".join(f"a{i}" for i in range(60))
     b = " ".join(f"b{i}" for i in range(60))
