@@ -402,75 +402,110 @@ class Attention:
     def gradients(self, x: np.ndarray, y: np.ndarray, counted: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean loss; those of the ids' own embeddings are rows for the ids that come second."""
         w, n, d = self.w, len(x), WIDTH
-        h0 = (w["e"][self.cls[x]] + w["i"][x] + w["p"]).reshape(-1, d)
-        q, k, v = ((h0 @ w[m]).reshape(n, WINDOW, d) for m in "qkv")
-        raw = np.clip((q * np.float32(1 / np.sqrt(d))) @ k.transpose(0, 2, 1), -REACH, REACH)
+        h0 = (w["e"].take(self.cls.take(x), 0) + w["i"].take(x, 0) + w["p"]).reshape(-1, d)
+        root = np.float32(1 / np.sqrt(d))
+        qkv = (h0 @ np.concatenate([w["q"] * root, w["k"], w["v"]], 1)).reshape(n, WINDOW, 3 * d)
+        q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
+        raw = q @ k.transpose(0, 2, 1)
+        np.clip(raw, -REACH, REACH, out=raw)
         s = self._weigh(raw.copy(), 0)
-        s /= s.sum(2, keepdims=True)
+        s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
         z = (s @ v).reshape(-1, d)
         h1 = h0 + (z @ w["o"] if self.attends else 0)
         r = np.maximum(h1 @ w["a"], 0)
         h2 = h1 + r @ w["b"]
-        p = h2 @ w["u"] + w["c"]
-        kind = self.starts[y.ravel()]
-        p[kind[:, None] != self.starts] = -1e9  # the other kind's classes
-        p -= p.max(1, keepdims=True)
-        np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(p)), y.ravel()] -= 1
-        p *= counted.reshape(-1, 1) / max(counted.sum(), 1)
-        gate = (1 / (1 + np.exp(-np.clip(h2 @ w["g"] + w["s"], -60, 60))) - kind[:, None]) * (counted.reshape(-1, 1) / max(counted.sum(), 1))
-        g = {"u": h2.T @ p, "c": p.sum(0, keepdims=True), "g": h2.T @ gate, "s": gate.sum(keepdims=True)}
-        d2 = p @ w["u"].T + gate @ w["g"].T
+        each = counted.reshape(-1, 1) / max(counted.sum(), 1)
+        aim, g, d2 = y.ravel(), {"u": np.zeros_like(w["u"]), "c": np.zeros_like(w["c"])}, np.empty_like(h2)
+        kind = self.starts[aim]
+        for rows, some in zip((np.flatnonzero(~kind), np.flatnonzero(kind)), self.kinds, strict=True):  # the other kind's classes have no share
+            own = h2.take(rows, 0)
+            p = own @ w["u"].take(some, 1) + w["c"].take(some, 1)
+            if len(rows) and np.abs(p).max() > 64:
+                p -= p.max(1, keepdims=True)
+            np.exp(p, out=p)
+            p *= each.take(rows, 0) / (p @ np.ones((len(some), 1), np.float32))
+            p[np.arange(len(p)), self.place[aim[rows]]] -= each.take(rows)
+            g["u"][:, some], g["c"][:, some] = own.T @ p, p.sum(0)
+            d2[rows] = p @ w["u"].take(some, 1).T
+        gate = (1 / (1 + np.exp(-np.clip(h2 @ w["g"] + w["s"], -60, 60))) - kind[:, None]) * each
+        gate = gate.astype(np.float32)
+        g["g"], g["s"] = h2.T @ gate, gate.sum(keepdims=True)
+        d2 += gate @ w["g"].T
         dr = (d2 @ w["b"].T) * (r > 0)
         g["b"], g["a"] = r.T @ d2, h1.T @ dr
         d1 = d2 + dr @ w["a"].T
         d0 = d1.copy()
         if self.attends:
             g["o"] = z.T @ d1
-            dz = (d1 @ w["o"].T).reshape(n, WINDOW, d)
+            dz = d1 @ w["o"].T
+            mean = np.einsum("nd,nd->n", dz, z).reshape(n, WINDOW, 1)  # of the gradients of what places weigh
+            dz = dz.reshape(n, WINDOW, d)
             ds = dz @ v.transpose(0, 2, 1)
-            ds = s * (ds - (ds * s).sum(2, keepdims=True)) / (1 + raw / 32) * np.float32(1 / np.sqrt(d))
-            for m, dm in {"q": ds @ k, "k": ds.transpose(0, 2, 1) @ q, "v": s.transpose(0, 2, 1) @ dz}.items():
-                dm = dm.reshape(-1, d)
-                g[m] = h0.T @ dm
-                d0 += dm @ w[m].T
+            ds -= mean
+            ds *= s
+            raw *= np.float32(1 / 32)
+            raw += np.float32(1)
+            ds /= raw
+            back = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dz], 2).reshape(-1, 3 * d)
+            back[:, :d] *= root
+            made = h0.T @ back
+            g["q"], g["k"], g["v"] = made[:, :d], made[:, d : 2 * d], made[:, 2 * d :]
+            d0 += back @ np.concatenate([w["q"], w["k"], w["v"]], 1).T
         g["p"] = d0.reshape(n, WINDOW, d).sum(0)
         order = np.argsort(x, None, kind="stable")
-        ids, first = np.unique(x.ravel()[order], return_index=True)
-        g["i"] = np.add.reduceat(d0[order], first)
+        ids = x.ravel()[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        ids = ids[first]
+        g["i"] = np.add.reduceat(d0.take(order, 0), first)
         g["e"] = np.zeros_like(w["e"])
         np.add.at(g["e"], self.cls[ids], g["i"])
         return g, ids
 
     def train(self, blocks: list[np.ndarray], steps: int, rate: float, warm: int = 0) -> np.ndarray:
         """Adam over the windows of ``blocks`` (each the id before and its ids), in shuffled order; which ids it met."""
-        pieces = [b[at : at + WINDOW + 1] for b in blocks for at in range(0, len(b) - 1, WINDOW)]
         met = np.zeros(len(self.cls), np.float32)
-        if not pieces or not steps:
+        n = np.array([max(0, -(-(len(b) - 1) // WINDOW)) for b in blocks], np.int64)
+        total = int(n.sum())
+        if not total or not steps:
             return met
+        flat, lengths = np.concatenate(blocks), np.array(list(map(len, blocks)), np.int64)
+        begin = np.repeat(np.cumsum(lengths) - lengths, n) + (np.arange(total) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
+        left = np.minimum(np.repeat(np.cumsum(lengths), n) - begin - 1, WINDOW)  # ids to tell in each window
         rng = np.random.default_rng(SEED)
-        m = {n: np.zeros_like(v) for n, v in self.w.items()}
-        s = {n: np.zeros_like(v) for n, v in self.w.items()}
-        order = np.zeros(0, np.int64)
+        # all weights but the ids' own lie one after another, so that a step is one for all of them
+        names = [name for name in self.w if name != "i"]
+        at = np.cumsum([0, *[self.w[name].size for name in names]]).tolist()
+        w = np.concatenate([self.w[name].ravel() for name in names])
+        for name, a, b in zip(names, at, at[1:], strict=False):
+            self.w[name] = w[a:b].reshape(self.w[name].shape)
+        m, s = np.zeros_like(w), np.zeros_like(w)
+        own_m, own_s = np.zeros_like(self.w["i"]), np.zeros_like(self.w["i"])
+        order, span = np.zeros(0, np.int64), np.arange(WINDOW)
+
+        def stepped(m: np.ndarray, s: np.ndarray, step: int, speed: float) -> np.ndarray:
+            return np.float32(speed / (1 - 0.9**step)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
+
         for step in range(1, steps + 1):
             if len(order) < BATCH:
-                order = np.concatenate([order, *[rng.permutation(len(pieces)) for _ in range(-(-BATCH // len(pieces)))]])
+                order = np.concatenate([order, *[rng.permutation(total) for _ in range(-(-BATCH // total))]])
             now, order = order[:BATCH], order[BATCH:]
-            x, y, counted = np.zeros((BATCH, WINDOW), np.int64), np.zeros((BATCH, WINDOW), np.int64), np.zeros((BATCH, WINDOW), np.float32)
-            for row, i in enumerate(now.tolist()):
-                part = pieces[i].astype(np.int64)
-                n = len(part) - 1
-                x[row, :n], y[row, :n], counted[row, :n] = part[:-1], self.cls[part[1:]], 1
-                x[row, n:] = part[0]
+            inside = span < left[now][:, None]
+            place = begin[now][:, None] + span
+            x = flat.take(np.where(inside, place, begin[now][:, None])).astype(np.int64)
+            y = np.where(inside, self.cls.take(flat.take(np.where(inside, place + 1, 0))), 0)
             speed = rate * min(1, step / max(warm, 1)) * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 1e-4
-            grown, ids = self.gradients(x, y, counted)
+            grown, ids = self.gradients(x, y, inside.astype(np.float32))
             met[ids] = 1
-            for name, g in grown.items():
-                at = ids if name == "i" else slice(None)
-                m[name][at] = 0.9 * m[name][at] + 0.1 * g
-                s[name][at] = 0.99 * s[name][at] + 0.01 * g * g
-                self.w[name][at] -= (speed * (m[name][at] / (1 - 0.9**step)) / (np.sqrt(s[name][at] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+            g = np.concatenate([grown[name].ravel() if name in grown else np.zeros(b - a, np.float32) for name, a, b in zip(names, at, at[1:], strict=False)])
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            s *= np.float32(0.99)
+            s += np.float32(0.01) * g * g
+            w -= stepped(m, s, step, speed)
+            g = grown["i"]
+            own_m[ids] = some_m = np.float32(0.9) * own_m.take(ids, 0) + np.float32(0.1) * g
+            own_s[ids] = some_s = np.float32(0.99) * own_s.take(ids, 0) + np.float32(0.01) * g * g
+            self.w["i"][ids] -= stepped(some_m, some_s, step, speed)
         return met
 
     def flat(self) -> np.ndarray:

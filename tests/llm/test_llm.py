@@ -42,6 +42,50 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def test_training_step():
+    """A round tells every id of every block once; gradients are slopes of the loss; a step is one for all weights but the ids' own."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    starts = np.arange(300) % 3 > 0
+    cls = np.where(starts, np.arange(300) % (lm.CLASSES // 2), lm.CLASSES // 2 + np.arange(300) % (lm.CLASSES // 2))
+    net = lm.Attention(cls, starts)
+    net.w["i"] += rng.normal(0, 0.1, net.w["i"].shape).astype(np.float32)
+    lengths = [lm.WINDOW + 1, 2 * lm.WINDOW + 8, 2, 1, *[30] * (lm.BATCH - 5)]  # one, three, one, no and one window each
+    blocks = [rng.integers(0, 300, k).astype(np.uint16) for k in lengths]
+    kept, made = {n: v.astype(float) for n, v in net.w.items()}, []
+    plain = net.gradients
+    net.gradients = lambda x, y, counted: made.append((x, y, counted, plain(x, y, counted))) or made[-1][-1]
+    net.train(blocks, 1, 0.01)
+    (x, y, counted, (g, ids)), = made
+    told = Counter((int(a), int(b)) for a, b, c in zip(x.ravel(), y.ravel(), counted.ravel(), strict=True) if c)
+    assert told == Counter((int(a), int(cls[b])) for z in blocks for a, b in zip(z[:-1], z[1:], strict=True))
+
+    def loss(w):
+        d = lm.WIDTH
+        h = w["e"][cls[x]] + w["i"][x] + w["p"]
+        q, k, v = (h @ w[m] for m in "qkv")
+        s = (1 + q @ k.transpose(0, 2, 1) / np.sqrt(d) / 32) ** 32 * np.tril(np.ones((lm.WINDOW, lm.WINDOW)))
+        h = h + s / s.sum(2, keepdims=True) @ v @ w["o"]
+        h = h + np.maximum(h @ w["a"], 0) @ w["b"]
+        p, gate, kind = h @ w["u"] + w["c"], (h @ w["g"] + w["s"])[..., 0], net.starts[y]
+        p = np.where(net.starts == kind[..., None], p, -np.inf)
+        lost = np.log(np.exp(p).sum(2)) - np.take_along_axis(p, y[..., None], 2)[..., 0] + np.log1p(np.exp(np.where(kind, -gate, gate)))
+        return (lost * counted).sum() / counted.sum()
+
+    for n in kept:
+        slope = np.zeros_like(kept[n])
+        if n == "i":
+            slope[ids] = g[n]
+        else:
+            slope = g[n].astype(float)
+        way = rng.normal(size=slope.shape)
+        up, down = ({**kept, n: kept[n] + e * way} for e in (1e-5, -1e-5))
+        assert (loss(up) - loss(down)) / 2e-5 == pytest.approx((slope * way).sum(), rel=2e-3, abs=2e-4), n
+        assert (np.abs(net.w[n] - kept[n]).max() > 0) == (np.abs(slope).max() > 0)
+    assert len({id(net.w[n].base) for n in kept if n != "i"}) == 1
+
+
 def test_jaccard_against_all_pairs(spark, docs, odd, none):
     both = docs.select("doc_id", "text").unionByName(odd.where("doc_id is not null").select((F.col("doc_id") + 100_000).alias("doc_id"), "text"))
     rows = both.collect()
