@@ -43,6 +43,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing reads any more."""
+    hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        folder = hadoop(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Have the driver collect garbage, on which Spark removes the shuffle files of tables that are gone."""
+    spark._jvm.System.gc()
+
+
 def words_of(text: Column) -> Column:
     """Words of a text, A-Z lowered, as a native array (null text: no words)."""
     low = F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

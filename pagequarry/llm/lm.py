@@ -38,14 +38,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.common import UPPER, crc_mod, materialize, slices
+from pagequarry.llm.common import UPPER, crc_mod, discard, materialize, slices, sweep
 
 WINDOW, OVERLAP = 40, 8
 WIDTH, HIDDEN, CLASSES, OWN_CLASS = 16, 32, 96, 48
 #: Windows that are scored at once; their arrays stay in a core's cache.
 TOGETHER = 160
-#: Words of a training block, and ids of a trainer.
-BLOCK, TRAINER_IDS = 48, 1_500_000
+#: Words of a training block, many windows so that few are cut short at its end, and ids of a trainer.
+BLOCK, TRAINER_IDS = 480, 1_500_000
 #: Windows of a step, steps of a trainer at least, and the rates of the start and of the trainers.
 BATCH, STEPS, START_RATE, RATE, SEED = 32, 1000, 0.02, 0.008, 3
 #: Largest score that attention weighs as it is.
@@ -255,19 +255,27 @@ def block_counts(blocks: DataFrame, size: int) -> np.ndarray:
     return _cells(blocks, run, (size,))
 
 
-def context_counts(blocks: DataFrame, frequent: np.ndarray, size: int) -> np.ndarray:
-    """Counts of ids by what is before and after them; ``frequent`` are the ids that are contexts of their own."""
+def context_counts(blocks: DataFrame, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of ids by what is before and after them; ``frequent`` are the ids that are contexts of their own.
+
+    Those are counted; the rest of what ``counts`` has of an id is beside the others. Each block begins after an
+    end and each text ends with one, so an id is as often before another as after one.
+    """
+    size = len(counts)
     context = np.full(size, CONTEXTS - 1, np.int64)
     context[frequent[: CONTEXTS - 1]] = np.arange(len(frequent[: CONTEXTS - 1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * 2 * CONTEXTS, np.int32)
         for a, b in _pairs(batches):
-            np.add.at(total, b * 2 * CONTEXTS + context[a], 1)
-            np.add.at(total, a * 2 * CONTEXTS + CONTEXTS + context[b], 1)
+            for ids, beside, first in ((b, context.take(a), 0), (a, context.take(b), CONTEXTS)):
+                some = np.flatnonzero(beside < CONTEXTS - 1)
+                np.add.at(total, ids.take(some) * (2 * CONTEXTS) + beside.take(some) + first, 1)
         yield _used(total)
 
-    return _cells(blocks, run, (size, 2 * CONTEXTS), np.float32)
+    found = _cells(blocks, run, (size, 2, CONTEXTS))
+    found[:, :, -1] = counts[:, None] - found.sum(2)
+    return found.reshape(size, -1).astype(np.float32)
 
 
 def start_counts(blocks: DataFrame, cls: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -310,11 +318,9 @@ def classes_of(counts: np.ndarray, table: np.ndarray, starts: np.ndarray) -> np.
     return cls
 
 
-def power(x: np.ndarray, doublings: int) -> np.ndarray:
-    """(1 + x / m) ** m in place, m = 2 ** doublings: close to the exponential, positive, and several times faster."""
-    x *= np.float32(1 / (1 << doublings))
-    x += np.float32(1)
-    for _ in range(doublings):
+def squared(x: np.ndarray, times: int) -> np.ndarray:
+    """x ** (2 ** times) in place. Of 1 + y / 2 ** times it is close to the exponential of y, positive, and several times faster."""
+    for _ in range(times):
         np.multiply(x, x, out=x)
     return x
 
@@ -323,7 +329,7 @@ class Attention:
     """The network: embeddings of ids, one causal attention, one ReLU layer, a gate and class logits.
 
     The gate tells whether the next id starts a word; the logits are among the classes of that kind.
-    Attention weighs by ``power`` where others take the exponential. An id's embedding is that of its class and one of its own, which starts at zero, so ids that no block
+    Attention weighs by ``squared`` where others take the exponential. An id's embedding is that of its class and one of its own, which starts at zero, so ids that no block
     has are read as their class.
     """
 
@@ -345,22 +351,39 @@ class Attention:
         self.ready()
 
     def ready(self) -> None:
-        """What scoring needs, from the weights: one table of embeddings, one product for queries, keys and values."""
+        """What scoring needs, from the weights: one table of embeddings, and the matrices of few large products."""
+        self.table = self.w["e"][self.cls] + self.w["i"]
+        self.qkv = self._qkv()
+        self.out = [self._out(kind) for kind in range(2)]
+        for out in self.out:  # what ``squared`` takes
+            out *= np.float32(1 / 256)
+            out[WIDTH] += np.float32(1)
+
+    def _qkv(self) -> np.ndarray:
+        """One product for queries, keys and values. Queries are such that theirs with keys is what ``squared`` takes; a column of ones follows each of the three."""
+        w, d = self.w, WIDTH
+        made = np.zeros((d + 1, 3 * d + 3), np.float32)
+        made[:d, :d], made[:d, d + 1 : 2 * d + 1], made[:d, 2 * d + 2 : -1] = w["q"] * np.float32(1 / np.sqrt(d) / 32), w["k"], w["v"]
+        made[d, [d, 2 * d + 1, 3 * d + 2]] = 1
+        return made
+
+    def _out(self, kind: int) -> np.ndarray:
+        """One product for the logits of a kind's classes and, last, the gate."""
         w = self.w
-        self.table = w["e"][self.cls] + w["i"]
-        self.qkv = np.concatenate([w["q"] / np.float32(np.sqrt(WIDTH)), w["k"], w["v"]], 1)
-        out = np.concatenate([w["u"], w["c"]])
-        self.out = [np.ascontiguousarray(out[:, some]) for some in self.kinds]
-        self.top = float(np.sqrt((out**2).sum(0).max()))
-        self.gate = np.concatenate([w["g"], w["s"]])
-
-    def _weigh(self, s: np.ndarray, bound: float, skip: int = 0) -> np.ndarray:
-        """What scores weigh, up to a factor of each row, 0 for what is not past; ``bound`` is on their size."""
-        if bound > REACH:
-            np.clip(s, -REACH, REACH, out=s)
-        power(s, 5)
+        return np.concatenate([np.concatenate([w["u"], w["c"]]).take(self.kinds[kind], 1), np.concatenate([w["g"], w["s"]])], 1)
+
+    def _attend(self, h: np.ndarray, skip: int = 0) -> tuple[np.ndarray, ...]:
+        """Of windows of inputs with a last column of ones: queries, keys and values; one more than scores / 32; what they weigh, up to a factor of each row, 0 for what is not past; the weighed sums, and last what they are shares of."""
+        n, d = len(h), WIDTH
+        qkv = (h.reshape(-1, d + 1) @ self.qkv).reshape(n, WINDOW, 3 * d + 3)
+        q, k, v = qkv[:, :, : d + 1], qkv[:, :, d + 1 : 2 * d + 2], qkv[:, :, 2 * d + 2 :]
+        base = q[:, skip:] @ k.transpose(0, 2, 1)
+        reach = np.float32(REACH / 32)
+        if base.max(initial=1) > 1 + reach or base.min(initial=1) < 1 - reach:
+            np.clip(base, 1 - reach, 1 + reach, out=base)
+        s = squared(base * base, 4)
         s *= self.past[skip:]
-        return s
+        return q, k, v, base, s, s @ v
 
     def log_prob(self, x: np.ndarray, y: np.ndarray, once: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Natural log probabilities after id windows ``x``, at the places ``once``, none of them among the first ``skip``.
@@ -369,96 +392,103 @@ class Attention:
         """
         n, d = len(x), WIDTH
         flat = np.flatnonzero(once)
-        h = self.table.take(x.ravel(), 0)
-        h.reshape(n, WINDOW, d)[...] += self.w["p"]
-        qkv = (h @ self.qkv).reshape(n, WINDOW, 3 * d)
-        q, k = qkv[:, :, :d], qkv[:, :, d : 2 * d]
-        v = np.ones((n, WINDOW, d + 1), np.float32)
-        v[:, :, :d] = qkv[:, :, 2 * d :]
-        bound = float(np.sqrt(np.einsum("nwd,nwd->nw", q, q).max() * np.einsum("nwd,nwd->nw", k, k).max()))
-        z = (self._weigh(q[:, skip:] @ k.transpose(0, 2, 1), bound, skip) @ v).reshape(-1, d + 1).take(np.flatnonzero(once[:, skip:]), 0)
-        h = h.take(flat, 0)
+        h = np.ones((n, WINDOW, d + 1), np.float32)
+        np.add(self.table.take(x, 0), self.w["p"], out=h[:, :, :d])
+        z = self._attend(h, skip)[-1].reshape(-1, d + 1).take(np.flatnonzero(once[:, skip:]), 0)
+        last = h.reshape(-1, d + 1).take(flat, 0)
         if self.attends:
-            h += (z[:, :d] / z[:, d:]) @ self.w["o"]
-        last = np.ones((len(h), d + 1), np.float32)
-        r = h @ self.w["a"]
+            last[:, :d] += (z[:, :d] / z[:, d:]) @ self.w["o"]
+        r = last[:, :d] @ self.w["a"]
         np.maximum(r, 0, out=r)
-        last[:, :d] = r @ self.w["b"]
-        last[:, :d] += h
-        large = float(np.sqrt(np.einsum("nd,nd->n", last, last).max(initial=0))) * self.top > 128
+        last[:, :d] += r @ self.w["b"]
         cls = y.ravel().take(flat)
         kind, place = self.starts[cls], self.place[cls]
-        given = np.empty(len(flat), np.float32)
+        given, gate = np.empty((2, len(flat)), np.float32)
         for some, out in zip((np.flatnonzero(~kind), np.flatnonzero(kind)), self.out, strict=True):
             logits = last.take(some, 0) @ out
-            if large:
-                np.clip(logits, -128, 128, out=logits)
-            power(logits, 8)
-            given[some] = logits[np.arange(len(some)), place[some]] / logits.sum(1)
-        gate = np.clip((last @ self.gate)[:, 0], -60, 60)
+            if logits.max(initial=1) > 1.5 or logits.min(initial=1) < 0.5:
+                np.clip(logits, 0.5, 1.5, out=logits)
+            gate[some] = logits[:, -1]
+            squared(logits, 8)
+            every = np.ones(logits.shape[1], np.float32)
+            every[-1] = 0
+            given[some] = logits.ravel().take(np.arange(len(some)) * len(every) + place.take(some)) / (logits @ every)
+        gate -= np.float32(1)
+        gate *= np.float32(256)
+        gate = np.clip(gate, -60, 60)
         start = -np.log1p(np.exp(-gate))
         return np.log(np.maximum(given, np.float32(1e-30))), start, start - gate
 
     def gradients(self, x: np.ndarray, y: np.ndarray, counted: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """Gradients of the mean loss; those of the ids' own embeddings are rows for the ids that come second."""
         w, n, d = self.w, len(x), WIDTH
-        h0 = (w["e"].take(self.cls.take(x), 0) + w["i"].take(x, 0) + w["p"]).reshape(-1, d)
-        root = np.float32(1 / np.sqrt(d))
-        qkv = (h0 @ np.concatenate([w["q"] * root, w["k"], w["v"]], 1)).reshape(n, WINDOW, 3 * d)
-        q, k, v = qkv[:, :, :d], qkv[:, :, d : 2 * d], qkv[:, :, 2 * d :]
-        raw = q @ k.transpose(0, 2, 1)
-        np.clip(raw, -REACH, REACH, out=raw)
-        s = self._weigh(raw.copy(), 0)
-        s /= (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32)).reshape(n, WINDOW, 1)
-        z = (s @ v).reshape(-1, d)
-        h1 = h0 + (z @ w["o"] if self.attends else 0)
-        r = np.maximum(h1 @ w["a"], 0)
-        h2 = h1 + r @ w["b"]
-        each = counted.reshape(-1, 1) / max(counted.sum(), 1)
-        aim, g, d2 = y.ravel(), {"u": np.zeros_like(w["u"]), "c": np.zeros_like(w["c"])}, np.empty_like(h2)
-        kind = self.starts[aim]
-        for rows, some in zip((np.flatnonzero(~kind), np.flatnonzero(kind)), self.kinds, strict=True):  # the other kind's classes have no share
-            own = h2.take(rows, 0)
-            p = own @ w["u"].take(some, 1) + w["c"].take(some, 1)
-            if len(rows) and np.abs(p).max() > 64:
-                p -= p.max(1, keepdims=True)
+        self.qkv = self._qkv()
+        h = np.ones((n, WINDOW, d + 1), np.float32)
+        np.add(w["e"].take(self.cls.take(x), 0), w["i"].take(x, 0), out=h[:, :, :d])
+        h[:, :, :d] += w["p"]
+        q, k, v, base, s, z = self._attend(h)
+        h0, z = h.reshape(-1, d + 1)[:, :d], z.reshape(-1, d + 1)
+        under = np.float32(1) / z[:, d:]
+        z = z[:, :d] * under
+        h1 = z @ w["o"] if self.attends else np.zeros_like(z)
+        h1 += h0
+        r = h1 @ w["a"]
+        np.maximum(r, 0, out=r)
+        h2 = np.ones((len(h1), d + 1), np.float32)
+        np.add(h1, r @ w["b"], out=h2[:, :d])
+        aim, share, d2 = y.ravel(), np.float32(1 / max(counted.sum(), 1)), np.zeros_like(h1)
+        each = counted.ravel() * share
+        kind, told = self.starts.take(aim), each > 0
+        g = {m: np.zeros_like(w[m]) for m in "ucgs"}
+        for starts, some in enumerate(self.kinds):  # the other kind's classes have no share
+            rows, out, one = np.flatnonzero(told & (kind if starts else ~kind)), self._out(starts), np.ones(len(some) + 1, np.float32)
+            own, part = h2.take(rows, 0), each.take(rows)
+            p, one[-1] = own @ out, 0
+            if p.max(initial=0) > 64 or p.min(initial=0) < -64:
+                p[:, :-1] -= p[:, :-1].max(1, keepdims=True)
+                np.clip(p[:, -1], -60, 60, out=p[:, -1])
             np.exp(p, out=p)
-            p *= each.take(rows, 0) / (p @ np.ones((len(some), 1), np.float32))
-            p[np.arange(len(p)), self.place[aim[rows]]] -= each.take(rows)
-            g["u"][:, some], g["c"][:, some] = own.T @ p, p.sum(0)
-            d2[rows] = p @ w["u"].take(some, 1).T
-        gate = (1 / (1 + np.exp(-np.clip(h2 @ w["g"] + w["s"], -60, 60))) - kind[:, None]) * each
-        gate = gate.astype(np.float32)
-        g["g"], g["s"] = h2.T @ gate, gate.sum(keepdims=True)
-        d2 += gate @ w["g"].T
-        dr = (d2 @ w["b"].T) * (r > 0)
+            gate = p[:, -1] / (1 + p[:, -1])
+            p *= (part / (p @ one))[:, None]
+            p.reshape(-1)[np.arange(len(p)) * len(one) + self.place.take(aim.take(rows))] -= part
+            p[:, -1] = (gate - np.float32(starts)) * part
+            made = own.T @ p
+            g["u"][:, some], g["c"][:, some] = made[:d, :-1], made[d:, :-1]
+            g["g"] += made[:d, -1:]
+            g["s"] += made[d:, -1:]
+            d2[rows] = p @ out[:d].T
+        dr = d2 @ w["b"].T
+        dr *= (r > 0).astype(np.float32)
         g["b"], g["a"] = r.T @ d2, h1.T @ dr
-        d1 = d2 + dr @ w["a"].T
-        d0 = d1.copy()
+        d0 = dr @ w["a"].T
+        d0 += d2
         if self.attends:
-            g["o"] = z.T @ d1
-            dz = d1 @ w["o"].T
-            mean = np.einsum("nd,nd->n", dz, z).reshape(n, WINDOW, 1)  # of the gradients of what places weigh
-            dz = dz.reshape(n, WINDOW, d)
+            g["o"] = z.T @ d0
+            dz = np.empty((len(z), d + 1), np.float32)
+            np.multiply(d0 @ w["o"].T, under, out=dz[:, :d])
+            np.negative(np.einsum("nd,nd->n", dz[:, :d], z), out=dz[:, d])  # the mean of the gradients of what places weigh
+            dz = dz.reshape(n, WINDOW, d + 1)
             ds = dz @ v.transpose(0, 2, 1)
-            ds -= mean
             ds *= s
-            raw *= np.float32(1 / 32)
-            raw += np.float32(1)
-            ds /= raw
-            back = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, s.transpose(0, 2, 1) @ dz], 2).reshape(-1, 3 * d)
-            back[:, :d] *= root
-            made = h0.T @ back
-            g["q"], g["k"], g["v"] = made[:, :d], made[:, d : 2 * d], made[:, 2 * d :]
-            d0 += back @ np.concatenate([w["q"], w["k"], w["v"]], 1).T
+            ds /= base
+            back = np.empty((n, WINDOW, 3 * d), np.float32)
+            np.matmul(ds, k[:, :, :d], out=back[:, :, :d])
+            np.matmul(ds.transpose(0, 2, 1), q[:, :, :d], out=back[:, :, d : 2 * d])
+            np.matmul(s.transpose(0, 2, 1), dz[:, :, :d], out=back[:, :, 2 * d :])
+            back = back.reshape(-1, 3 * d)
+            made, root = h0.T @ back, np.float32(1 / np.sqrt(d))
+            g["q"], g["k"], g["v"] = made[:, :d] * root, made[:, d : 2 * d] * np.float32(32), made[:, 2 * d :]
+            d0 += back @ np.concatenate([w["q"] * root, w["k"] * np.float32(32), w["v"]], 1).T
         g["p"] = d0.reshape(n, WINDOW, d).sum(0)
-        order = np.argsort(x, None, kind="stable")
-        ids = x.ravel()[order]
-        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        ids = ids[first]
+        flat = x.ravel().astype(np.uint16)  # as blocks hold them; sorted by digits
+        order = np.argsort(flat, kind="stable")
+        ids = flat.take(order)
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        ids = ids.take(first).astype(np.int64)
         g["i"] = np.add.reduceat(d0.take(order, 0), first)
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], self.cls[ids], g["i"])
+        of = np.zeros((len(ids), CLASSES), np.float32)
+        of.reshape(-1)[np.arange(len(ids)) * CLASSES + self.cls.take(ids)] = 1
+        g["e"] = of.T @ g["i"]
         return g, ids
 
     def train(self, blocks: list[np.ndarray], steps: int, rate: float, warm: int = 0) -> np.ndarray:
@@ -471,6 +501,7 @@ class Attention:
         flat, lengths = np.concatenate(blocks), np.array(list(map(len, blocks)), np.int64)
         begin = np.repeat(np.cumsum(lengths) - lengths, n) + (np.arange(total) - np.repeat(np.cumsum(n) - n, n)) * WINDOW
         left = np.minimum(np.repeat(np.cumsum(lengths), n) - begin - 1, WINDOW)  # ids to tell in each window
+        flat, span = np.append(flat, np.zeros(WINDOW, flat.dtype)), np.arange(WINDOW + 1)
         rng = np.random.default_rng(SEED)
         # all weights but the ids' own lie one after another, so that a step is one for all of them
         names = [name for name in self.w if name != "i"]
@@ -480,7 +511,7 @@ class Attention:
             self.w[name] = w[a:b].reshape(self.w[name].shape)
         m, s = np.zeros_like(w), np.zeros_like(w)
         own_m, own_s = np.zeros_like(self.w["i"]), np.zeros_like(self.w["i"])
-        order, span = np.zeros(0, np.int64), np.arange(WINDOW)
+        order = np.zeros(0, np.int64)
 
         def stepped(m: np.ndarray, s: np.ndarray, step: int, speed: float) -> np.ndarray:
             return np.float32(speed / (1 - 0.9**step)) * m / (np.sqrt(s * np.float32(1 / (1 - 0.99**step))) + np.float32(1e-8))
@@ -489,12 +520,11 @@ class Attention:
             if len(order) < BATCH:
                 order = np.concatenate([order, *[rng.permutation(total) for _ in range(-(-BATCH // total))]])
             now, order = order[:BATCH], order[BATCH:]
-            inside = span < left[now][:, None]
-            place = begin[now][:, None] + span
-            x = flat.take(np.where(inside, place, begin[now][:, None])).astype(np.int64)
-            y = np.where(inside, self.cls.take(flat.take(np.where(inside, place + 1, 0))), 0)
+            inside = (span[:-1] < left.take(now)[:, None]).astype(np.float32)
+            window = flat.take(begin.take(now)[:, None] + span)
+            x, y = window[:, :-1].astype(np.int64), self.cls.take(window[:, 1:])
             speed = rate * min(1, step / max(warm, 1)) * (0.5 + 0.5 * np.cos(np.pi * step / steps)) + 1e-4
-            grown, ids = self.gradients(x, y, inside.astype(np.float32))
+            grown, ids = self.gradients(x, y, inside)
             met[ids] = 1
             g = np.concatenate([grown[name].ravel() if name in grown else np.zeros(b - a, np.float32) for name, a, b in zip(names, at, at[1:], strict=False)])
             m *= np.float32(0.9)
@@ -637,7 +667,7 @@ def fit(training: DataFrame, words: DataFrame, path: str, n_texts: int, attends:
     trainers = max(1, -(-drawn // TRAINER_IDS))
     often = block_counts(blocks, sub.size)
     rank = np.argsort(-often, kind="stable")
-    cls = classes_of(often, context_counts(blocks, rank[often[rank] > 0], sub.size), sub.starts)
+    cls = classes_of(often, context_counts(blocks, rank[often[rank] > 0], often), sub.starts)
     net = Attention(cls, sub.starts, attends)
     # the blocks of one trainer start the weights, but for those with words of very many ids
     begun = blocks.where(F.pmod("h", F.lit(trainers)) == 0).where(F.length("ids") <= 64 * BLOCK)
@@ -645,7 +675,9 @@ def fit(training: DataFrame, words: DataFrame, path: str, n_texts: int, attends:
     net.train(found, STEPS, START_RATE, 30)
     pieces = sum(-(-(len(x) - 1) // WINDOW) for x in found)
     average(net, blocks, trainers, max(1.0, STEPS * BATCH / max(pieces, 1)))
-    return Scorer(id_counts(words, path, cls, n_texts), start_counts(blocks, cls, sub.starts), cls, net, sub.starts)
+    made = Scorer(id_counts(words, path, cls, n_texts), start_counts(blocks, cls, sub.starts), cls, net, sub.starts)
+    discard(blocks)
+    return made
 
 
 def score_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -663,7 +695,9 @@ def score_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     common = (F.col("c") >= least) & (F.length("word") <= HEAD_BYTES)
     head = {bytes(r["word"]): r["c"] for r in words.where(common).toLocalIterator()}
     owner = uuid.uuid4().hex
+    sweep(spark)
     shared = spark.sparkContext.broadcast((head, fit(training, words, path, n_texts)))
+    sweep(spark)
     end_base = float(np.log10((n_texts + SMOOTH) / under)) if under else 0.0
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -696,16 +730,16 @@ def score_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             if len(places):
                 m, at = len(places), np.searchsorted(ends, places)
                 rare, at = found.take(pa.array(places - at)).cast(pa.binary()), pa.array(at)
-                some = [pa.array(x[places].astype(np.float32)) for x in (spelling, share, each)]
+                some = [pa.array(x.astype(np.float32)) for x in (spelling[places] + np.log10(share[places]), each[places])]
                 yield pa.RecordBatch.from_arrays([rows.take(at), pa.nulls(m, batch.column("id").type), *[pa.nulls(m, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], rare, *some], names=names)
 
-    names = ["row", "id", "n_tokens", "n_known", "base", "score", "word", "spelling", "share", "each"]
-    rare_types = [pa.binary(), pa.float32(), pa.float32(), pa.float32()]
-    scored = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(run, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, word binary, spelling float, share float, each float"))
-    rare = scored.where("n_tokens is null").select("row", "word", "spelling", "share", "each").join(words.where(~common), "word", "left")
+    names = ["row", "id", "n_tokens", "n_known", "base", "score", "word", "spelt", "each"]
+    rare_types = [pa.binary(), pa.float32(), pa.float32()]
+    scored = materialize(docs.select(F.monotonically_increasing_id().alias("row"), "id", "text").mapInArrow(run, f"row long, id {kind}, n_tokens long, n_known long, base double, score double, word binary, spelt float, each float"))
+    rare = scored.where("n_tokens is null").select("row", "word", "spelt", "each").join(words.where(~common), "word", "left")
     c = F.coalesce(F.col("c"), F.lit(0))
     # spelling and count, added as logs
-    spelt, counted = F.col("spelling").cast("double") + F.log10(F.col("share").cast("double")), F.log10(F.col("each").cast("double") * c)
+    spelt, counted = F.col("spelt").cast("double"), F.log10(F.col("each").cast("double") * c)
     top = F.greatest(spelt, counted)
     given = F.when(c == 0, spelt).otherwise(top + F.log10(F.pow(F.lit(10.0), spelt - top) + F.pow(F.lit(10.0), counted - top)))
     added = rare.groupBy("row").agg(F.sum(F.log10((c + SMOOTH) / F.lit(under))).alias("more"), F.sum(given).alias("given"), F.sum((c > 0).cast("long")).alias("found"))

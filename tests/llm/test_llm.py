@@ -4,6 +4,7 @@ import hashlib
 import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -493,3 +494,36 @@ def test_lm_blocks_hold_all_words(spark):
     assert np.array_equal(np.concatenate([x[1:] for x in found]), want)
     assert np.array_equal(np.concatenate([x[:1] for x in found[1:]]), [x[-1] for x in found[:-1]]) and found[0][0] == sub.end
     assert len({r["h"] for r in rows}) == len(rows) == sum(len(lm.words_in(t)) // lm.BLOCK + 1 for t in texts)
+
+
+def test_lm_blocks_are_dropped_once_learned(spark, docs, monkeypatch):
+    """The table of blocks, as large as the texts, is no longer on disk when texts are scored."""
+    made, plain = [], lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df: made.append(plain(df)) or made[-1])
+    lm.score_texts(docs, tokenizer("byte_bpe_50k.tiktoken"))
+    folders = [{f.rpartition("/")[0].removeprefix("file:").replace("//", "/") for f in df.inputFiles()} for df in made]
+    left = [any(Path(f).exists() for f in found) for found in folders]
+    assert left == [df.columns != ["h", "ids"] for df in made] and not all(left)
+
+
+def test_lm_context_counts_against_loops(spark):
+    """All of what is before and after each id is counted, also beside ids that are no contexts of their own; few windows are cut short."""
+    import numpy as np
+
+    path = tokenizer("byte_bpe_50k.tiktoken")
+    sub = lm.subwords(path)
+    texts = [None, "", *[" ".join(f"w{(k * i) % 97}x{i % 13}" for i in range(1, 60 * k)) for k in range(1, 12)]]
+    blocks = lm.blocks_of(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3), path).cache()
+    counts = lm.block_counts(blocks, sub.size)
+    frequent = np.argsort(-counts, kind="stable")[:20]
+    want = np.zeros((sub.size, 2 * lm.CONTEXTS))
+    place = {int(i): k for k, i in enumerate(frequent)}
+    pieces = ids = 0
+    for r in blocks.collect():
+        x = np.frombuffer(bytes(r["ids"]), np.uint16).tolist()
+        ids, pieces = ids + len(x) - 1, pieces - (-(len(x) - 1) // lm.WINDOW)
+        for a, b in zip(x[:-1], x[1:], strict=True):
+            want[b, place.get(a, lm.CONTEXTS - 1)] += 1
+            want[a, lm.CONTEXTS + place.get(b, lm.CONTEXTS - 1)] += 1
+    assert counts.sum() == ids and np.array_equal(lm.context_counts(blocks, frequent, counts), want)
+    assert ids > 0.9 * pieces * lm.WINDOW
